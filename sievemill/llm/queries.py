@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.llm.mixing import mix
+from sievemill.llm.quality_classifier import quality_scores
+from sievemill.llm.quality_rules import quality_rules
 from sievemill.llm.substring_dedup import remove_repeats
 
 
@@ -31,9 +34,38 @@ FROM t LEFT JOIN k USING (r)
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+-- each round holds at three times their size those that the level of the round before took above it
+rounds AS (SELECT 0 AS n, CAST(0 AS DOUBLE) AS level
+  UNION ALL
+  SELECT n + 1, (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (WHERE level * w > 3 * source_size), 0)) / sum(w) FILTER (WHERE level * w <= 3 * source_size) FROM s)
+  FROM rounds WHERE n < 1 + (SELECT count(*) FROM s)),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), w * (SELECT level FROM rounds ORDER BY n DESC LIMIT 1)) AS target FROM s),
+o AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
+  CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + greatest(0, least(size, budget % source_size - before)) END AS BIGINT) AS taken
+FROM o
+"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op6_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
