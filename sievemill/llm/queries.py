@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.llm import pii, warc
 from sievemill.llm.mixing import mix
 from sievemill.llm.quality_classifier import quality_scores
 from sievemill.llm.quality_rules import quality_rules
@@ -38,6 +39,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -59,13 +68,29 @@ FROM o
 """
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY sha1(payload)) AS first_id FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT)) AS groups, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS abc FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(groups, lambda x: abc[CAST(x // 32768 + 1 AS INTEGER)] || abc[CAST(x // 1024 % 32 + 1 AS INTEGER)] || abc[CAST(x // 32 % 32 + 1 AS INTEGER)] || abc[CAST(x % 32 + 1 AS INTEGER)]), '') AS payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM v
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op6_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op4_pii, op6_mixing, op9_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op9_warc": OP9_SQL}
