@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import pii, warc
+from sievemill.llm.html_extract import extract
 from sievemill.llm.mixing import mix
+from sievemill.llm.near_dedup import near_duplicates
 from sievemill.llm.quality_classifier import quality_scores
 from sievemill.llm.quality_rules import quality_rules
 from sievemill.llm.substring_dedup import remove_repeats
@@ -47,6 +49,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,11 @@ FROM o
 """
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("group_id"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -89,7 +100,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op4_pii, op6_mixing, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op4_pii, op5_html_extraction, op6_mixing, op7_minhash_near_dedup, op9_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
