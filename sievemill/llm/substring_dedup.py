@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.llm.shared import by_id, own_columns, pieces, text_bytes
-from sievemill.llm.text import FIRST, SECOND, Words, binaries, packed, slices, texts, values
+from sievemill.llm.text import FIRST, SECOND, Words, packed, slices, texts, values
 
 PERIOD, COVER = 7, (1, 2, 4)
-#: A window's hashes and the smallest id that has it.
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8")])
+#: A window's hash of 96 bits and the smallest id that has it.
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("id", "<i8")])
 MESSAGE = "bucket int, chunk int, body binary"
 
 
@@ -40,22 +40,48 @@ def _anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     return at, FIRST.windows(hashes, window - period + 1)[at] if len(at) else np.zeros(0, np.uint64)
 
 
+def _pack(values_: np.ndarray) -> bytes:
+    """Entries column by column, ids byte by byte: most bytes of ids are alike, which the shuffle's compression uses."""
+    if values_.dtype != ENTRY:
+        return values_.tobytes()
+    return values_["a"].tobytes() + values_["b"].tobytes() + np.ascontiguousarray(values_["id"]).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(bodies: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All entries, and how many each body has."""
+    raw, offs = packed(bodies, np.uint8)
+    if kind != ENTRY:
+        return raw.view(kind), np.diff(offs) // 8
+    n = np.diff(offs) // 20
+    out, to = np.empty(n.sum(), ENTRY), 0
+    for o, k in zip(offs[:-1].tolist(), n.tolist()):
+        out["a"][to : to + k] = np.frombuffer(raw, "<u8", k, o)
+        out["b"][to : to + k] = np.frombuffer(raw, "<u4", k, o + 8 * k)
+        out["id"][to : to + k] = np.ascontiguousarray(raw[o + 12 * k : o + 20 * k].reshape(8, k).T).view("<i8").ravel()
+        to += k
+    return out, n
+
+
+def _grouped(group: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each group and its packed entries."""
+    order = np.argsort(group, kind="stable")
+    ids, first = np.unique(group[order], return_index=True)
+    body, ends = body[order], np.append(first, len(order))
+    return ids, pa.array([_pack(body[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+
+
 def _send(chunk: int, keys: np.ndarray, body: np.ndarray, n: int) -> pa.Table:
     """One row per bucket of keys; a bucket is a range of hashes."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ids, first = np.unique(bucket[order], return_index=True)
-    return pa.table({"bucket": pa.array(ids, pa.int32()), "chunk": pa.array(np.full(len(ids), chunk), pa.int32()), "body": binaries(body[order], np.append(first, len(order)))})
+    ids, bodies = _grouped(((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64), body)
+    return pa.table({"bucket": pa.array(ids, pa.int32()), "chunk": pa.array(np.full(len(ids), chunk), pa.int32()), "body": bodies})
 
 
 def _answer(kind: np.dtype, answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
     def reply(table: pa.Table) -> pa.Table:
-        body, offs = packed(table["body"], kind)
-        chunk = np.repeat(values(table["chunk"]), np.diff(offs))
-        body, chunk = answer(body, chunk)
-        order = np.argsort(chunk, kind="stable")
-        ids, first = np.unique(chunk[order], return_index=True)
-        return pa.table({"chunk": pa.array(ids, pa.int32()), "body": binaries(body[order], np.append(first, len(order)))})
+        body, n = _unpack(table["body"], kind)
+        body, chunk = answer(body, np.repeat(values(table["chunk"]), n))
+        ids, bodies = _grouped(chunk, body)
+        return pa.table({"chunk": pa.array(ids, pa.int32()), "body": bodies})
 
     return reply
 
@@ -138,7 +164,7 @@ def _first_ids(entries: np.ndarray) -> np.ndarray:
 def _entries(table: pa.Table, found: tuple[np.ndarray, ...]) -> np.ndarray:
     row, _, a, b = found
     e = np.empty(len(row), ENTRY)
-    e["a"], e["b"] = a, b
+    e["a"], e["b"] = a, b >> np.uint64(32)
     ids = table["id"].fill_null(0)
     e["id"] = values(ids)[row] if len(row) else 0
     return e
@@ -187,7 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _send(chunk_of(table), h, h, n_buckets)
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        e = _first_ids(_entries(left, _candidates(left, np.unique(packed(right["body"], np.uint64)[0]), window)))
+        e = _first_ids(_entries(left, _candidates(left, np.unique(_unpack(right["body"], np.uint64)[0]), window)))
         return _send(chunk_of(left), e["a"], e, n_buckets)
 
     def cut(left: pa.Table, shared: np.ndarray, earlier: np.ndarray) -> pa.Table:
@@ -215,7 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut_both(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = right["kind"].to_numpy()
-        return cut(left, np.unique(packed(right.filter(kind == 0)["body"], np.uint64)[0]), packed(right.filter(kind == 1)["body"], ENTRY)[0])
+        return cut(left, np.unique(_unpack(right.filter(kind == 0)["body"], np.uint64)[0]), _unpack(right.filter(kind == 1)["body"], ENTRY)[0])
 
     by_chunk = lambda df: df.groupBy("chunk")
     shared = by_chunk(d).applyInArrow(anchors, MESSAGE).groupBy("bucket").applyInArrow(_answer(np.uint64, _shared), "chunk int, body binary")
