@@ -26,7 +26,7 @@ def lexicon() -> list[tuple[str, str, str]]:
 
 def annotation(template: Column) -> Column:
     """(verb, direction): the first word with a direction, else the first neutral one, else null."""
-    forms = F.create_map(*(F.lit(x) for lemma, direction, form in lexicon() for x in (form, f"{lemma}:{direction}")))
+    forms = F.expr("map(" + ", ".join(f"'{form}', '{lemma}:{direction}'" for lemma, direction, form in lexicon()) + ")")
     found = F.filter(F.transform(F.regexp_extract_all(F.lower(template), F.lit("[a-z]+"), F.lit(0)), lambda w: F.element_at(forms, w)), lambda x: x.isNotNull())
     moving = F.filter(found, lambda x: ~F.endswith(x, F.lit(":neutral")))
     parts = F.split(F.coalesce(F.get(moving, F.lit(0)), F.get(found, F.lit(0))), ":")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.functions.regexes import EDGE, ascii_edges, squeezed
+from sievemill.functions.regexes import EDGE, ascii_edges, once, squeezed
 
 MOST_CHARS = 8000
 _D, _L, _A = "[0-9]", "[A-Za-z]", "[A-Za-z0-9]"
@@ -29,10 +29,9 @@ class Rule:
     re2_put: str  # replacement with the groups that stand for look-around
     value: str  # the RE2 spelling with the value in group value_group
     value_group: int
-    need: str | None = None  # a cheap condition without which the rule can't apply
 
 
-def _rule(field: str, pattern: str, before: str = "", after: str = "", around: str = "", need: str | None = None) -> Rule:
+def _rule(field: str, pattern: str, before: str = "", after: str = "", around: str = "") -> Rule:
     flags = "(?i)" if pattern.startswith("(?i)") else ""
     core = pattern[len(flags) :]
     put = f"<{field}>"
@@ -41,24 +40,24 @@ def _rule(field: str, pattern: str, before: str = "", after: str = "", around: s
     groups = [f"({before})" if before else "", core, f"({after})" if after else ""]
     back = ("\\1" if before else "") + shown + (("\\2" if before else "\\1") if after else "")
     value = flags + f"{groups[0]}({core}){groups[2]}"
-    return Rule(field, ascii_edges(jvm), flags + "".join(groups), shown, back, value, 2 if before else 1, need)
+    return Rule(field, ascii_edges(jvm), flags + "".join(groups), shown, back, value, 2 if before else 1)
 
 
 _NAME_RUN = f"{_CAP}{_NAMEPART}*(?:\\s+{_CAP}{_NAMEPART}*)*"
 _MIXED = "|".join(("D" + "L" + "A{3,}", "D{2}LA{2,}", "D{3}LA+", "D{4,}LA*", "LDA{3,}", "L{2}DA{2,}", "L{3}DA+", "L{4,}DA*")).replace("D", _D).replace("L", "#").replace("A", _A).replace("#", _L)
 RULES: tuple[Rule, ...] = (
-    _rule("URL", r"(?i)https?://[^\s]+", need="://"),
+    _rule("URL", r"(?i)https?://[^\s]+"),
     _rule("REFERENCE", r"(?i)[A-Z0-9&]{4,}", before="id=|Receipt/"),
-    _rule("NAME", rf"(?:(?:{'|'.join(sorted(('Mr', 'Mrs', 'Ms', 'Dr'), reverse=True))})\.?\s+)?{_NAME_RUN}", before=r"\bDear\s", need="Dear"),
-    _rule("NAME", rf"\({_CAP}[-A-Za-z .']+\)", around="()", need="("),
-    _rule("NAME", rf"{_CAP}[a-z]+(?:\s+{_CAP}{_NAMEPART}+){{1,3}}", before=r"\b(?:from|to)\s", after=r"\s+on\b", need="on"),
-    _rule("MERCHANT", rf"{_L}[-A-Za-z0-9 &'.]*?", before=r"\bat\s", after=r"\s+on\b", need="at"),
+    _rule("NAME", rf"(?:(?:{'|'.join(sorted(('Mr', 'Mrs', 'Ms', 'Dr'), reverse=True))})\.?\s+)?{_NAME_RUN}", before=r"\bDear\s"),
+    _rule("NAME", rf"\({_CAP}[-A-Za-z .']+\)", around="()"),
+    _rule("NAME", rf"{_CAP}[a-z]+(?:\s+{_CAP}{_NAMEPART}+){{1,3}}", before=r"\b(?:from|to)\s", after=r"\s+on\b"),
+    _rule("MERCHANT", rf"{_L}[-A-Za-z0-9 &'.]*?", before=r"\bat\s", after=r"\s+on\b"),
     _rule("DATE", rf"\b{_D}{{4}}[-/]{_D}{{1,2}}[-/]{_D}{{1,2}}\b"),
     _rule("DATE", rf"\b{_D}{{1,2}}[-/]{_D}{{1,2}}[-/]{_D}{{2,4}}\b"),
     _rule("DATE", rf"(?i)\b{_D}{{1,2}}[- ]{_MONTH}[- ]{_D}{{2,4}}\b"),
-    _rule("TIME", rf"(?i)\b{_D}{{1,2}}:{_D}{{2}}(?::{_D}{{2}})?\s?(?:[AP]M)?\b", need=":"),
-    _rule("ACCOUNT", rf"\b{_D}[*]+{_D}+\b", need="*"),
-    _rule("CARD", rf"[*]{{2,}}{_D}{{2,4}}\b", need="**"),
+    _rule("TIME", rf"(?i)\b{_D}{{1,2}}:{_D}{{2}}(?::{_D}{{2}})?\s?(?:[AP]M)?\b"),
+    _rule("ACCOUNT", rf"\b{_D}[*]+{_D}+\b"),
+    _rule("CARD", rf"[*]{{2,}}{_D}{{2,4}}\b"),
     _rule("PHONE", rf"\b(?:0|[+]?251)?9{_D}{{8}}\b"),
     _rule("AMOUNT", rf"(?i){_MONEY}\s?{_NUMBER}(?:[.]{_D}+)?"),
     _rule("AMOUNT", rf"(?i)\b{_NUMBER}[.]{_D}{{2}}\s?(?:Br|ETB)\b"),
@@ -69,14 +68,9 @@ RULES: tuple[Rule, ...] = (
 FIELDS = tuple(sorted({r.field for r in RULES}))
 
 
-def _applies(rule: Rule, text: Column) -> Column | None:
-    return F.contains(text, F.lit(rule.need)) if rule.need else None
-
-
 def _replaced(rule: Rule, text: Column) -> Column:
-    new = F.regexp_replace(text, rule.jvm, rule.put)
-    cond = _applies(rule, text)
-    return new if cond is None else F.when(cond, new).otherwise(text)
+    """One reference to the text: were there more, inlining a chain of rules would multiply it."""
+    return F.regexp_replace(text, rule.jvm, rule.put)
 
 
 def with_template(df: DataFrame, body: str, template: str = "template") -> DataFrame:
@@ -84,19 +78,17 @@ def with_template(df: DataFrame, body: str, template: str = "template") -> DataF
     df = df.withColumn(template, F.substring(F.col(body), 1, MOST_CHARS))
     for rule in RULES:
         df = df.withColumn(template, _replaced(rule, F.col(template)))
-    return df.withColumn(template, squeezed(F.col(template)))
+    return df.withColumn(template, once(squeezed(F.col(template))))
 
 
 def with_spans(df: DataFrame, body: str, template: str = "template", spans: str = "spans") -> DataFrame:
     """df with the template and the raw text behind each placeholder: an array of (rule, field, values) in rule order."""
     df = df.withColumn(template, F.substring(F.col(body), 1, MOST_CHARS))
     for i, rule in enumerate(RULES):
-        found = F.regexp_extract_all(F.col(template), F.lit(rule.jvm), F.lit(0))
-        cond = _applies(rule, F.col(template))
-        df = df.withColumn(f"_span{i}", found if cond is None else F.when(cond, found).otherwise(F.array().cast("array<string>")))
+        df = df.withColumn(f"_span{i}", F.regexp_extract_all(F.col(template), F.lit(rule.jvm), F.lit(0)))
         df = df.withColumn(template, _replaced(rule, F.col(template)))
     one = [F.struct(F.lit(i).alias("rule"), F.lit(r.field).alias("field"), F.col(f"_span{i}").alias("values")) for i, r in enumerate(RULES)]
-    df = df.withColumn(template, squeezed(F.col(template))).withColumn(spans, F.filter(F.array(*one), lambda s: F.size(s["values"]) > 0))
+    df = df.withColumns({template: once(squeezed(F.col(template))), spans: once(F.filter(F.array(*one), lambda s: F.size(s["values"]) > 0))})
     return df.drop(*(f"_span{i}" for i in range(len(RULES))))
 
 

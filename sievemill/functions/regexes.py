@@ -73,3 +73,11 @@ def trimmed(text: Column) -> Column:
 def some(text: Column) -> Column:
     """null for an empty string: a group that took no part in a match is one."""
     return F.nullif(text, F.lit(""))
+
+
+def once(value: Column) -> Column:
+    """The value itself, as a column that the optimizer computes where it stands.
+
+    It moves filters and null checks through projections by writing the column's expression into them; for a chain of
+    regular expressions that repeats the work and, link by link, multiplies the plan. It doesn't for what isn't deterministic."""
+    return F.when(F.rand(0) >= 0, value)

@@ -96,11 +96,11 @@ def similar_pairs(clusters: DataFrame, threshold: float = SIMILARITY) -> DataFra
     size = F.greatest(F.lit(1), F.floor(n / (edits + 1)).cast("int"))
     cut = t.select("*", edits.alias("k"), size.alias("size")).select("bank_id", "template", "k", "size", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     pieces = cut.select("bank_id", "template", "size", F.substring("template", F.col("i") * F.col("size") + 1, F.col("size")).alias("piece")).where("piece <> ''").distinct()
-    sizes = pieces.select("bank_id", "size").distinct()
-    grams = t.join(sizes, t["bank_id"].eqNullSafe(sizes["bank_id"])).select(t["bank_id"], t["template"], "size", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("template") - F.col("size") + 1))).alias("p"))
+    sizes = pieces.select(F.col("bank_id").alias("bank_of"), "size").distinct()
+    grams = t.join(sizes, F.col("bank_id").eqNullSafe(F.col("bank_of"))).select("bank_id", "template", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("template") - F.col("size") + 1))).alias("p"))
     grams = grams.select("bank_id", "template", "size", F.substring("template", F.col("p"), F.col("size")).alias("piece")).distinct()
     a, b = both(pieces, "a"), both(grams, "b")
-    near = a.join(b, a["bank_id_a"].eqNullSafe(b["bank_id_b"]) & (a["size_a"] == b["size_b"]) & (a["piece_a"] == b["piece_b"])).where("template_a <> template_b")
+    near = a.join(b, F.col("bank_id_a").eqNullSafe(F.col("bank_id_b")) & (F.col("size_a") == F.col("size_b")) & (F.col("piece_a") == F.col("piece_b"))).where("template_a <> template_b")
     pairs = near.select(F.col("bank_id_a").alias("bank_id"), F.least("template_a", "template_b").alias("a"), F.greatest("template_a", "template_b").alias("b")).distinct()
     return pairs.withColumn("similarity", F.round(similarity(F.col("a"), F.col("b")), 6)).where(similarity(F.col("a"), F.col("b")) >= threshold)
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.functions.regexes import ascii_edges, compiles, positional, some, trimmed
+from sievemill.functions.regexes import ascii_edges, compiles, once, positional, some, trimmed
 
 FLAGS = "(?ims)"
 FLAG_COLUMNS = ("type_valid", "amount_parsed", "balance_expected", "balance_captured", "balance_parsed", "counterparty", "ref_real", "ref_synth", "account_expected", "account_captured", "fees_expected", "fees_captured")
@@ -81,9 +81,6 @@ class Catalog:
     def bank(self, bank_id: int) -> Bank | None:
         return next((b for b in self.banks if b.id == bank_id), None)
 
-    def shown(self, bank_id: int) -> str:
-        found = self.bank(bank_id)
-        return found.shown if found else f"Bank #{bank_id}"
 
 
 def token(value: Column) -> Column:
@@ -139,40 +136,57 @@ def searched_party(body: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def _extracted(p: Compiled, body: Column, bank: Bank | None) -> dict[str, Column]:
-    """Flags, acceptance and reason; whatever the pattern declares is known when the plan is made."""
+def _captured(p: Compiled, body: Column, bank: Bank | None) -> Column:
+    """What a match captures, and as literals what its pattern declares: one struct of the same fields for every pattern."""
     s, lit = p.source, F.lit
-    got = lambda name: some(F.regexp_extract(body, p.regex, p.groups[name])) if name in p.groups else None
-    has = lambda name: name in p.groups
-    amount = parses(clean_number(got("amount"))) if has("amount") else lit(False)
-    balance = clean_number(got("balance")) if has("balance") else None
-    account = masked_account(got("account"), bank) if has("account") else None
-    captured = lambda v: v.isNotNull() if v is not None else lit(False)
-    ref_real = captured(got("reference"))
-    ref_synth = ~ref_real if s.ref_required is False else lit(False)
-    kind: Column = lit(s.type)
-    if has("type"):
-        low = F.lower(got("type"))
-        kind = F.when(F.contains(low, lit("debit")), "DEBIT").when(F.contains(low, lit("credit")), "CREDIT").otherwise(lit(s.type))
-    party: Column = lit(False)
-    for name in (*PARTY_GROUPS, "creditor", "receiver"):
-        if has(name):
-            party = party | F.coalesce(trimmed(got(name)) != "", lit(False))
-    party = party | (F.contains(F.upper(kind), lit("CREDIT")) & searched_party(body).isNotNull())
-    fees: Column = lit(False)
-    for names in FEE_GROUPS:
-        first = next((n for n in names if has(n)), None)
-        if first:
-            fees = fees | parses(clean_number(got(first)))
-    reason = F.when(~amount, "amountMissing")
-    if balance is not None:
-        reason = reason.when(balance.isNull(), "balanceMissing")
-    if s.ref_required is True:
-        reason = reason.when(~ref_real, "refMissing")
-    if s.has_account is True and account is not None:
-        reason = reason.when(account.isNull(), "accountMissing")
-    flags = (kind.isin("CREDIT", "DEBIT"), amount, lit(has("balance")), captured(balance), parses(balance) if balance is not None else lit(False), party, ref_real, ref_synth, lit(has("account")), captured(account), lit(s.has_fees is True), fees)
-    return {"reason": reason.otherwise("none"), **dict(zip(FLAG_COLUMNS, flags))}
+    none = lit(None).cast("string")
+    got = lambda name: some(F.regexp_extract(body, p.regex, p.groups[name])) if name in p.groups else none
+    has = lambda name: lit(name in p.groups)
+    # of the spellings of a fee only the first that the pattern declares is looked at
+    fee = lambda names: got(next((n for n in names if n in p.groups), ""))
+    party = [got(n) for n in (*PARTY_GROUPS, "creditor", "receiver") if n in p.groups]
+    return F.struct(
+        lit(p.ord).alias("ord"),
+        lit(s.bank_id).alias("bank_id"),
+        lit(catalog_name(bank, s.bank_id)).alias("bank_name"),
+        lit(s.type).alias("type"),
+        lit(s.description).alias("description"),
+        lit(s.ref_required).cast("boolean").alias("ref_required"),
+        lit(s.has_account is True).alias("needs_account"),
+        lit(s.has_fees is True).alias("fees_expected"),
+        has("balance").alias("balance_expected"),
+        has("account").alias("account_expected"),
+        got("amount").alias("amount"),
+        got("balance").alias("balance"),
+        (masked_account(got("account"), bank) if "account" in p.groups else none).alias("account"),
+        got("reference").alias("reference"),
+        got("type").alias("said_type"),
+        (F.array(*party) if party else F.array(none)).alias("parties"),
+        fee(FEE_GROUPS[0]).alias("fee"),
+        fee(FEE_GROUPS[1]).alias("vat"),
+    )
+
+
+def catalog_name(bank: Bank | None, bank_id: int) -> str:
+    return bank.shown if bank else f"Bank #{bank_id}"
+
+
+def _judged(c: Column, party_in_text: Column) -> Column:
+    """A captured struct with its acceptance, whose order in the catalog decides among equals."""
+    low = F.lower(c["said_type"])
+    kind = F.when(F.contains(low, F.lit("debit")), "DEBIT").when(F.contains(low, F.lit("credit")), "CREDIT").otherwise(c["type"])
+    amount, balance, real = parses(clean_number(c["amount"])), c["balance"].isNotNull(), c["reference"].isNotNull()
+    synth = ~real & F.coalesce(~c["ref_required"], F.lit(False))
+    party = F.exists(c["parties"], lambda v: F.coalesce(trimmed(v) != "", F.lit(False))) | (F.contains(F.upper(kind), F.lit("CREDIT")) & party_in_text)
+    reason = (
+        F.when(~amount, "amountMissing")
+        .when(c["balance_expected"] & ~balance, "balanceMissing")
+        .when(F.coalesce(c["ref_required"], F.lit(False)) & ~real, "refMissing")
+        .when(c["needs_account"] & c["account_expected"] & c["account"].isNull(), "accountMissing")
+        .otherwise("none")
+    )
+    flags = (kind.isin("CREDIT", "DEBIT"), amount, c["balance_expected"], balance, parses(clean_number(c["balance"])), party, real, synth, c["account_expected"], c["account"].isNotNull(), c["fees_expected"], parses(clean_number(c["fee"])) | parses(clean_number(c["vat"])))
+    return F.struct(reason.alias("reason"), c["ord"].alias("ord"), c["bank_id"].alias("bank_id"), c["bank_name"].alias("bank_name"), c["type"].alias("type"), c["description"].alias("description"), *(v.alias(k) for k, v in zip(FLAG_COLUMNS, flags)))
 
 
 def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: str = "address") -> DataFrame:
@@ -185,22 +199,17 @@ def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: st
     clean = F.col("_clean")
     df = messages.withColumn("_clean", trimmed(F.col(body))).withColumn("sender_bank", sender_bank(F.col(address), catalog.banks))
     df = df.withColumn("_scope", F.when(F.col("sender_bank").isin(with_patterns), F.col("sender_bank")) if with_patterns else F.lit(None).cast("int"))
+    df = df.withColumn("_party", searched_party(clean).isNotNull())
     branches = []
     for p in catalog.compiled:
-        found = _extracted(p, clean, catalog.bank(p.source.bank_id))
-        row = F.struct(
-            (found["reason"] != "none").alias("rejected"),
-            F.lit(p.ord).alias("ord"),
-            F.lit(p.source.bank_id).alias("bank_id"),
-            F.lit(catalog.shown(p.source.bank_id)).alias("bank_name"),
-            F.lit(p.source.type).alias("type"),
-            F.lit(p.source.description).alias("description"),
-            F.struct((found["reason"] == "none").alias("accepted"), *(v.alias(k) for k, v in found.items())).alias("extraction"),
-        )
-        branches.append(F.when((F.col("_scope").isNull() | (F.col("_scope") == p.source.bank_id)) & clean.rlike(p.regex), row))
+        b = p.source.bank_id
+        branches.append(F.when((F.col("_scope").isNull() | (F.col("_scope") == b)) & clean.rlike(p.regex), _captured(p, clean, catalog.bank(b))))
     if not branches:
         raise ValueError("the catalog has no valid pattern")
-    df = df.withColumn("_hit", F.array_min(F.array(*branches)))
+    df = df.withColumn("_found", F.filter(F.array(*branches), lambda c: c.isNotNull()))
+    df = df.withColumn("_judged", F.transform("_found", lambda c: _judged(c, F.col("_party"))))
+    accepted = F.filter("_judged", lambda j: j["reason"] == "none")
+    df = df.withColumn("_hit", once(F.coalesce(F.get(accepted, F.lit(0)), F.get("_judged", F.lit(0)))))
     names = F.create_map(*(x for b in catalog.banks for x in (F.lit(b.id), F.lit(b.shown)))) if catalog.banks else None
     hit = F.col("_hit")
     df = df.withColumns(
@@ -211,7 +220,7 @@ def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: st
             "tx_type": hit["type"],
             "pattern_desc": hit["description"],
             "pattern_ord": hit["ord"],
-            "extraction": hit["extraction"],
+            "extraction": F.when(hit.isNotNull(), F.struct((hit["reason"] == "none").alias("accepted"), hit["reason"].alias("reason"), *(hit[c].alias(c) for c in FLAG_COLUMNS))),
         }
     )
-    return df.drop("_clean", "_scope", "_hit")
+    return df.drop("_clean", "_scope", "_party", "_found", "_judged", "_hit")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +74,24 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_messages(spark, sf_dir).where(F.trim("body") != "")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, kept while the session needs them. Several results read them, and the regular expressions should run once; a
+    filter above a kept table isn't written into them either. What doesn't fit in memory goes to local disks, and what an
+    executor loses is computed again from its part of the input."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(messages(spark, sf_dir), catalog(spark))
+    return kept(parse(messages(spark, sf_dir), catalog(spark)).drop("address", "date_ms"))
+
+
+def templates(spark: SparkSession, sf_dir: str, spans: bool = False) -> DataFrame:
+    """Messages with their templates, without a catalog."""
+    rows = messages(spark, sf_dir)
+    return kept((with_spans if spans else with_template)(rows, "body"))
 
 
 def parsed_templates(spark: SparkSession, sf_dir: str, spans: bool = False) -> DataFrame:
-    rows = parsed(spark, sf_dir)
-    return with_spans(rows, "body") if spans else with_template(rows, "body")
+    """Parsed messages with their templates."""
+    rows = parse(messages(spark, sf_dir), catalog(spark)).drop("address", "date_ms", "sender_bank", "pattern_ord")
+    return kept(with_spans(rows, "body").drop("body") if spans else with_template(rows, "body"))

@@ -200,7 +200,7 @@ def sql() -> dict[str, str]:
         "verb_annotation": f"WITH {_PLAIN}, {_LEX}, {_VERBS} SELECT template, verb, direction FROM (SELECT DISTINCT template FROM t) LEFT JOIN v USING (template)",
         "families_verb": f"WITH {_FAMILIES} SELECT f.stream, template, bank_id, verb, direction, {_LABEL} AS label, member_count, total, {_prio('total', 1)} AS priority, member_count - 1 AS n_variants, variants, examples FROM f JOIN fe USING (stream, family)",
         "families_identity": f"WITH {_CLUSTERS} SELECT stream, template, bank_id, CAST(1 AS BIGINT) AS member_count, occurrences AS total, priority, readiness FROM c",
-        "similar_template_pairs": f"WITH {_CLUSTERS}, x AS (SELECT DISTINCT bank_id, template FROM c), y AS (SELECT a.bank_id, a.template AS a, b.template AS b, 1 - levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template)) AS z FROM x a JOIN x b ON a.bank_id IS NOT DISTINCT FROM b.bank_id AND a.template < b.template) SELECT bank_id, a, b, round(z, 6) AS similarity FROM y WHERE z >= 0.6",
+        "similar_template_pairs": f"WITH {_CLUSTERS}, x AS (SELECT DISTINCT bank_id, template FROM c), y AS (SELECT a.bank_id, a.template AS a, b.template AS b, 1 - levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template)) AS z FROM x a JOIN x b ON a.bank_id IS NOT DISTINCT FROM b.bank_id AND a.template < b.template) SELECT bank_id, a, b, round(z, 6) AS similarity FROM y WHERE z >= 0.4",
         "health_rates": f"WITH {_TEMPLATED}, hc AS (SELECT template, {_HCOUNTS} FROM t WHERE matched GROUP BY ALL) SELECT template, members, {_RATES} FROM hc",
         "health_score": f"WITH {_SUCCESS} SELECT template, bank_id, members, pattern_desc, health_score, app_accepted FROM su",
         "reconciliation": f"WITH {_SUCCESS} SELECT CAST(round(sum(health_score * members) / sum(members)) AS INTEGER) AS mean_health_score, "

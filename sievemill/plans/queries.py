@@ -36,7 +36,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalize_messages(spark, sf_dir):
-    return normalize.with_template(M.messages(spark, sf_dir), "body").select("seq", "template")
+    return M.templates(spark, sf_dir).select("seq", "template")
 
 
 @query
@@ -47,14 +47,14 @@ def normalize_documents(spark, sf_dir):
 
 @query
 def template_clusters(spark, sf_dir):
-    c = cluster.counts(normalize.with_template(M.messages(spark, sf_dir), "body"))
+    c = cluster.counts(M.templates(spark, sf_dir))
     n = F.col("occurrences")
     return c.select("template", "occurrences", cluster.priority(n).alias("priority"), cluster.priority_rank(n).alias("priority_rank"), cluster.readiness(F.col("template")).alias("readiness")).orderBy(F.col("priority_rank").desc(), n.desc(), "template")
 
 
 @query
 def cluster_examples(spark, sf_dir):
-    rows = normalize.with_template(M.messages(spark, sf_dir), "body")
+    rows = M.templates(spark, sf_dir)
     return cluster.first_examples(rows).select("template", F.array_join("examples", " ¶ ").alias("examples"))
 
 
@@ -65,14 +65,14 @@ def cluster_mode_bank(spark, sf_dir):
 
 @query
 def span_counts(spark, sf_dir):
-    rows = normalize.with_spans(M.messages(spark, sf_dir), "body")
+    rows = M.templates(spark, sf_dir, spans=True)
     long = rows.select(F.explode("spans").alias("s")).select("s.rule", "s.field", F.size("s.values").alias("n"))
     return long.groupBy("rule", "field").agg(F.sum("n").alias("spans"))
 
 
 @query
 def capped_spans(spark, sf_dir):
-    values = cluster.span_values(normalize.with_spans(M.messages(spark, sf_dir), "body"))
+    values = cluster.span_values(M.templates(spark, sf_dir, spans=True))
     return values.groupBy("template", "field").agg(F.count(F.lit(1)).alias("spans"))
 
 
@@ -186,12 +186,12 @@ def candidate_vs_noise(spark, sf_dir):
 def top_gaps(spark, sf_dir):
     """The report's list: the 25 highest of the clusters that no pattern matches."""
     c = _clusters(spark, sf_dir).where("not matched")
-    return c.select("template", "occurrences", "priority", "stream").orderBy(F.col("priority_rank").desc(), F.col("occurrences").desc(), "template").limit(25) if "priority_rank" in c.columns else c
+    return c.select("template", "occurrences", "priority", "stream").orderBy(F.col("priority_rank").desc(), F.col("occurrences").desc(), "template").limit(25)
 
 
 @query
 def verb_annotation(spark, sf_dir):
-    t = normalize.with_template(M.messages(spark, sf_dir), "body").select("template").distinct()
+    t = M.templates(spark, sf_dir).select("template").distinct()
     return t.select("template", lexicon.annotation(F.col("template")).alias("a")).select("template", "a.verb", "a.direction")
 
 
@@ -212,7 +212,7 @@ def families_identity(spark, sf_dir):
 @query
 def similar_template_pairs(spark, sf_dir):
     c = cluster.clusters(M.parsed_templates(spark, sf_dir))
-    return families.similar_pairs(c, 0.6)
+    return families.similar_pairs(c, 0.4)
 
 
 @query
@@ -348,4 +348,4 @@ def export_metadata(spark, sf_dir):
 
 @query
 def quality_rollup(spark, sf_dir):
-    return coverage.quality(M.parsed(spark, sf_dir), invalid_patterns=M.catalog(spark).invalid)
+    return coverage.quality(M.messages(spark, sf_dir), invalid_patterns=M.catalog(spark).invalid)
