@@ -60,9 +60,8 @@ def health_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.where("matched").groupBy(*keys, "template").agg(F.count(F.lit(1)).alias("members"), flag("accepted"), *map(flag, FLAG_COLUMNS))
 
 
-def top_description(rows: DataFrame, *keys: str) -> DataFrame:
-    """The pattern that most messages of each template matched; the one seen first of several."""
-    by = [*keys, "template"]
+def top_description(rows: DataFrame, *by: str) -> DataFrame:
+    """The pattern that most messages of each key (template, or family) matched; the one seen first of several."""
     found = rows.where("matched and pattern_desc <> ''").groupBy(*by, "pattern_desc").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
     return found.groupBy(*by).agg(F.max_by("pattern_desc", F.struct("n", -F.col("first"))).alias("pattern_desc"))
 

@@ -159,7 +159,7 @@ def coverage_by_bank(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    return coverage.with_stream(cluster.clusters(M.parsed_templates(spark, sf_dir)))
+    return M.kept(coverage.with_stream(cluster.clusters(M.parsed_templates(spark, sf_dir))))
 
 
 @query
@@ -211,8 +211,7 @@ def families_identity(spark, sf_dir):
 
 @query
 def similar_template_pairs(spark, sf_dir):
-    c = cluster.clusters(M.parsed_templates(spark, sf_dir))
-    return families.similar_pairs(c, 0.4)
+    return families.similar_pairs(M.kept(_clusters(spark, sf_dir).select("bank_id", "template").distinct()), 0.4)
 
 
 @query
@@ -227,8 +226,7 @@ def _success(spark, sf_dir):
     f = families.families(members)
     own = members.select("template", "family")
     counts = health.merged(cluster.health_counts(rows).join(own, "template"), "family")
-    named = rows.where("matched and pattern_desc <> ''").join(own, "template").groupBy("family", "pattern_desc").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-    top = named.groupBy("family").agg(F.max_by("pattern_desc", F.struct("n", -F.col("first"))).alias("pattern_desc"))
+    top = cluster.top_description(rows.join(own, "template"), "family")
     return f.join(counts, "family").join(top, "family", "left")
 
 
