@@ -1,0 +1,343 @@
+"""Each operator against brute force on small tables that hold nulls, empty and long texts, ties, repeated rows and
+columns whose names clash with the operators' own."""
+
+import base64
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from sievemill.llm import decontamination, html_extract, near_dedup, pii, quality_rules, token_counts, warc
+from sievemill.llm.decontamination import leaks
+from sievemill.llm.mixing import mix
+from sievemill.llm.near_dedup import near_duplicates
+from sievemill.llm.quality_classifier import isotonic, quality_scores
+from sievemill.llm.substring_dedup import remove_repeats
+from sievemill.llm.text import texts
+from tests.llm.brute import WORD, base_pii
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Names that the operators use inside.
+CLASHING = {"id": 1, "key": "k", "bucket": 2, "size": 3, "chunk": 4, "sig": "s", "spans": "x", "score": 0.1}
+
+
+def words(rng, n, stock=400):
+    return [f"w{rng.randrange(stock)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    shared = words(rng, 60, 10**6)
+    out = [(None, " ".join(shared), "a"), (7, None, "a"), (8, "", None), (9, " \t\n ", "b"), (10, "één wörd ß", "b")]
+    for i in range(20, 60):
+        t = words(rng, rng.randrange(1, 120))
+        if i % 3 == 0:
+            p = rng.randrange(len(t) + 1)
+            t[p:p] = shared[rng.randrange(20) : 40 + rng.randrange(20)]
+        out.append((i, rng.choice((" ", "  ", "\n")).join(t), "abc"[i % 3]))
+    long = " ".join(words(rng, 60000))
+    out += [(61, long, "a"), (62, "x " + long, "b"), (25, out[10][1], "c"), (63, out[9][1], "c"), (63, out[9][1], "c"), (64, "a b c d e f g h i j k l m a b c d e f g h i j k l m", None)]
+    return out
+
+
+def frame(spark, rows, schema="doc_id long, text string, source string", clash=True):
+    df = spark.createDataFrame(rows, schema)
+    return df.withColumns({k: F.lit(v) for k, v in CLASHING.items() if k not in df.columns}) if clash else df
+
+
+def test_remove_repeats(spark, rows):
+    first = defaultdict(lambda: 10**9)
+    for i, t, _ in rows:
+        w = WORD.findall(t or "")
+        for p in range(len(w) - 12):
+            if i is not None:
+                g = tuple(w[p : p + 13])
+                first[g] = min(first[g], i)
+    expected = Counter()
+    for i, t, _ in rows:
+        w = WORD.findall(t or "")
+        gone = {q for p in range(len(w) - 12) if i is not None and first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
+        expected[i, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)] += 1
+    got = remove_repeats(frame(spark, rows).repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == expected
+    assert sum(r.n_removed for r in got) > 60000
+    assert remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_mix(spark, rows):
+    got = mix(frame(spark, rows)).collect()
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, held = sum(size.values()), set()
+    while True:  # share the rest by weight until none is above its bound
+        level = (total - sum(3 * size[s] for s in held)) / sum(weight[s] for s in order if s not in held)
+        over = {s for s in order if s not in held and level * weight[s] > 3 * size[s]}
+        if not over:
+            break
+        held |= over
+    target = {s: 3 * size[s] if s in held else level * weight[s] for s in order}
+    by_size = {v: k for k, v in size.items()}
+    taken = defaultdict(int)
+    for r in got:
+        s = by_size[r.source_size]
+        assert abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert {s: round(target[s]) for s in order} == dict(taken)
+    assert sorted(map(tuple, mix(frame(spark, rows).repartition(7)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    assert mix(frame(spark, [])).count() == 0
+
+
+def test_quality_rules(spark, rows):
+    junk = [(70, " | ".join(f"Menu{i}" for i in range(40)), "a"), (71, "#### " * 30, "a"), (72, "The cat sat on a mat, and it was warm.\nThen it went home.\nThen it went home.\nNobody saw it for a long while.", "a")]
+    got = quality_rules.quality_rules(frame(spark, rows + junk)).collect()
+    by_id = {r.doc_id: r for r in got}
+    for i, t, _ in rows + junk:
+        w = WORD.findall(t or "")
+        seen, places = defaultdict(list), set()
+        for p in range(len(w) - 4):
+            seen[tuple(w[p : p + 5])].append(p)
+        for ps in seen.values():
+            if len(ps) > 1:
+                places |= {q for p in ps for q in range(p, p + 5)}
+        lines, again = set(), 0
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                again += line in lines
+                lines.add(line)
+        failed = len(w) < 10 or 100 * len(places) > 20 * len(w)
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), again, len(places), failed)
+        assert want in [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got if r.doc_id == i]
+    assert by_id[72].kept and not by_id[70].kept and not by_id[71].kept
+    assert not any(r.kept and r.base_failed for r in got)
+    assert quality_rules.quality_rules(frame(spark, [])).count() == 0
+
+
+def test_lines_are_labelled(spark):
+    """Accuracy on labelled lines that the model hasn't seen."""
+    table = quality_rules.labelled_lines(99, 100)
+    part = texts(pa.array(["\n".join(t) for t, _ in table]))
+    r, w = quality_rules.lines(part), part.words()
+    got = quality_rules.trained().decode(quality_rules.line_features(part, r, w, w.hashes()), r.counts)
+    assert (got == np.concatenate([m for _, m in table])).mean() > 0.95
+
+
+def test_pii(spark, rows):
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("0123456789 .-+()@aé,\n") for _ in range(rng.randrange(120))) for _ in range(300)]
+    odd += ["call +1 (269) 555-3296 4524132264652876 now", "mail a.b@c.example.com. or 10.0.0.256 and 1.2.3.4.5.6.7.8", "+1 (826) 555-4081 190.137.223.20", "é 4111 1111 1111 1111"]
+    data = rows + [(1000 + i, t, "z") for i, t in enumerate(odd)]
+    got = defaultdict(list)
+    for r in pii.find(frame(spark, data)).collect():
+        got[r.doc_id].append(r.spans)
+    text_of = defaultdict(list)
+    for i, t, _ in data:
+        text_of[i].append(t)
+    for i, found in got.items():
+        assert sorted([(s.kind, s.start, s.end) for s in f if s.base] for f in found) == sorted([(k, a, b) for k, a, b in base_pii(t)] for t in text_of[i])
+    both = {s.kind: (s.start, s.end) for s in got[1300][0]}
+    assert both == {"phone": (5, 22), "card": (23, 39)}
+    assert {s.kind for s in got[1302][0]} == {"phone", "ip"}
+    clean = pii.redact(frame(spark, data)).where("doc_id in (1300, 1301, 7)").select("doc_id", "text", "key").collect()
+    assert {r.doc_id: r.text for r in clean} == {7: None, 1300: "call <PHONE> <CARD> now", 1301: "mail <EMAIL>. or 10.0.0.256 and <IP>.<IP>"}
+    assert pii.find(frame(spark, [])).count() == 0 and pii.redact(frame(spark, [])).count() == 0
+
+
+def test_html(spark):
+    pages = [
+        (1, "u1", "<body><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav><article><h1>A  title</h1><p>One &amp; two,<br>three.<p>Four <b>five</b> six.</article><footer>&copy; me</footer>"),
+        (2, "u2", None),
+        (3, None, ""),
+        (4, "u4", "<div class='content'><p>Text that stays, really.</p><div class='ad'>Buy this, now, today.</div><script>var a='<p>no</p>'</script><section id='comments'><p>First! Great read.</p></section></div>"),
+        (None, "u5", "plain text, no tags at all."),
+        (1, "u1", "<p>" + "long words here. " * 20000 + "</p>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "id": F.lit(1)})
+    got = {(r.page_id, r.url): r.text for r in html_extract.extract(df).collect() if not (r.text or "").startswith("long")}
+    assert got == {(1, "u1"): "A title\nOne & two, three.\nFour five six.", (2, "u2"): "", (3, None): "", (4, "u4"): "Text that stays, really.", (None, "u5"): "plain text, no tags at all."}
+    assert max(len(r.text) for r in html_extract.extract(df).collect()) == 20000 * 17 - 1
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_messages_equal_enumeration():
+    """Sum-product marginals against a sum over all labellings of a small tree."""
+    page = html_extract.parse("<div class=ad><p>a</p><p>b. c</p></div><article><p>d, e</p></article>")
+    t, m = html_extract.trees([page]), html_extract.trained()
+    got = np.exp(m.marginals(t)[0])
+    n, u = len(t.parent), t.x @ m.unary
+    mass = np.zeros((n, 2))
+    for code in range(2**n):
+        y = [(code >> k) & 1 for k in range(n)]
+        p = np.exp(sum(u[k, y[k]] for k in range(n)) + sum(m.pair[t.edge[k], y[t.parent[k]], y[k]] for k in range(n) if t.parent[k] >= 0))
+        for k in range(n):
+            mass[k, y[k]] += p
+    assert np.allclose(got, mass / mass.sum(1, keepdims=True), atol=1e-9)
+
+
+def test_near_duplicates(spark, rows):
+    rng = random.Random(8)
+    base = words(rng, 200, 10**6)
+    near = []
+    for k in range(6):
+        w = list(base)
+        for _ in range(5 * k):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        near.append((200 + k, " ".join(w), "a"))
+    near += [(300, near[0][1].upper() + ".", "b"), (301, near[0][1], "b")]
+    data = rows[:40] + near
+    got = {r.doc_id: r for r in near_duplicates(frame(spark, data)).collect()}
+
+    def shingles(t):
+        w = re.sub(r"[!-/:-@\[-`{-~]", "", t.lower()).split()
+        return Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+
+    for i, t, _ in near[:6]:
+        sure = [j for j, o, _ in near[:6] if j != i and _jaccard(shingles(t), shingles(o)) > 0.62]
+        maybe = [j for j, o, _ in near[:6] if j != i and _jaccard(shingles(t), shingles(o)) > 0.38]
+        assert len(sure) <= got[i].n_links <= len(maybe)
+    assert got[300].class_id == got[301].class_id == 200 and got[200].n_copies == 3
+    assert {got[i].group_id for i in range(200, 203)} == {200}
+    apart = [r for i, r in got.items() if i is not None and 20 <= i < 55 and i % 3]
+    assert apart and all(r.n_links == 0 for r in apart)
+    assert got[7].class_id == got[8].class_id == got[9].class_id == 7 and got[7].n_links == 0
+    assert near_duplicates(frame(spark, [])).count() == 0
+
+
+def _jaccard(a, b):
+    """Probability Jaccard similarity."""
+    return sum(1 / sum(max(a[z] / a[x], b[z] / b[x]) for z in a.keys() | b.keys()) for x in a.keys() & b.keys())
+
+
+def test_signatures_estimate_weighted_similarity():
+    a = "x y z " * 6 + " ".join(f"a{i}" for i in range(60))
+    b = "x y z " * 2 + " ".join(f"a{i}" for i in range(20, 75))
+    _, _, s = near_dedup.signatures(texts(pa.array([a, b])))
+
+    def weights(t):
+        w = t.split()
+        return Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+
+    assert abs((s[0] == s[1]).mean() - _jaccard(weights(a), weights(b))) < 0.15
+
+
+def test_tiles_count_each_pair_once(spark, monkeypatch):
+    """A band cut into blocks gives the same links as one that isn't."""
+    rng = random.Random(2)
+    base = words(rng, 80, 10**6)
+    data = [(i, " ".join(base[: 80 - i % 4] + [f"q{i}"]), "a") for i in range(40)]
+    whole = {r.doc_id: (r.n_links, r.group_id) for r in near_duplicates(frame(spark, data)).collect()}
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    cut = {r.doc_id: (r.n_links, r.group_id) for r in near_duplicates(frame(spark, data)).collect()}
+    assert whole == cut and all(n == 39 and g == 0 for n, g in whole.values())
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 60)], "a long, b long")
+    got = {r.key: r.root for r in near_dedup.components(links).collect()}
+    assert got == {**{i: 1 for i in range(1, 31)}, 50: 50, 51: 50}
+
+
+def test_leaks(spark, rows):
+    rng = random.Random(4)
+    items = [(i, " ".join(words(rng, n, 10**6))) for i, n in enumerate((5, 12, 30, 60))] + [(9, None), (None, "w1 w2 w3 w4"), (10, "")]
+    planted = []
+    for k, (i, t) in enumerate(items[:4]):
+        w = t.split()
+        edited = decontamination.edited(np.arange(len(w)), int(0.2 * len(w)) if len(w) >= 8 else 0, np.random.default_rng(k))
+        e = [w[int(x)] if x < len(w) else f"new{x}" for x in edited]
+        planted.append((500 + k, " ".join(words(rng, 30)) + " " + " ".join(e).upper() + ". " + " ".join(words(rng, 30)), "a"))
+    far = [(600, " ".join(x if j % 2 else "other" for j, x in enumerate(items[3][1].split())), "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"id": F.lit(3), "doc": F.lit(4)})
+    data = frame(spark, rows + planted + far)
+    got = {(r.doc_id, r.item_id): r.distance for r in leaks(data, bench).collect()}
+    fold = lambda t: re.sub(r"[!-/:-@\[-`{-~]", "", t.lower()).split()
+    expected = {}
+    for i, t, _ in rows[:45] + planted + far:
+        for j, q in items[:4]:
+            d = _closest(fold(q), fold(t or "")[:3000])
+            if i is not None and d <= (int(0.2 * len(q.split())) if len(q.split()) >= 8 else 0):
+                expected[i, j] = d
+    assert got == expected and len(got) == 4
+    assert leaks(frame(spark, []), bench).count() == 0 and leaks(data, bench.limit(0)).count() == 0
+
+
+def test_leaks_in_parts(spark, rows, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(rows[20 + i][1].split()[:30])) for i in range(8)], "item_id long, text string")
+    whole = sorted(map(tuple, leaks(frame(spark, rows), items).collect()))
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 400)
+    assert whole and sorted(map(tuple, leaks(frame(spark, rows), items).collect())) == whole
+
+
+def _closest(item, text):
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != w)))
+        row = new
+    return min(row)
+
+
+def test_token_counts(spark, rows):
+    from tokenizers import Tokenizer, models
+
+    v = token_counts.pieces(VOCABULARY)
+    low = min(v.values()) - 1000
+    other = Tokenizer(models.Unigram([("<unk>", 0.0), *v.items(), *((f"<0x{b:02X}>", low) for b in range(256))], unk_id=0, byte_fallback=True))
+    data = [r for r in rows if len(r[1] or "") < 5000] + [(90, "naïve 漢字 \U0001f600 ▁x aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "a")]
+    expected = Counter((i, len(WORD.findall(t or "")), sum(len(other.encode("▁" + w).ids) for w in WORD.findall(t or ""))) for i, t, _ in data)
+    assert Counter(map(tuple, token_counts.token_counts(frame(spark, data), VOCABULARY).collect())) == expected
+    assert token_counts.token_counts(frame(spark, []), VOCABULARY).count() == 0
+
+
+def test_warc_round_trip(spark):
+    pages = [(3, "u3", "same"), (1, "u1", "same"), (2, None, None), (4, "u4", ""), (5, "u\r\n5", "é <b>"), (None, "n", "same"), (1, "u1", "same"), (6, "u6", "x" * 300000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"sha1": F.lit("s"), "n": F.lit(1), "payload": F.lit("p")})
+    index = warc.write(df)
+    got = warc.read(index).collect()
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    first = {"same": 1, "": 2, "é <b>": 5, "x" * 300000: 6}
+    expected = Counter()
+    for i, _, h in pages:
+        b = (h or "").encode()
+        f = first[h or ""]
+        again = i is None or i > f
+        expected[i, len(b), digest(b), "revisit" if again else "response", f if again else None, None if again else b] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload) if r.payload is not None else None) for r in got) == expected
+    assert {r.page_id for r in warc.read(index.where("page_id in (3, 6)")).collect()} == {3, 6}
+    assert warc.read(warc.write(df, least_bytes=5)).where("record_type = 'revisit'").count() == 0
+    assert warc.read(warc.write(df.limit(0))).count() == 0
+    assert list(warc.ranges([(0, 5), (5, 5), (100, 5), (105, 50)], gap=10, most=60)) == [(0, 10, [(0, 5), (5, 5)]), (100, 155, [(100, 5), (105, 50)])]
+
+
+def test_quality_scores(spark):
+    rng = random.Random(1)
+    good = lambda: " ".join(w + ("." if rng.random() < 0.1 else "") for w in words(rng, 80, 5000))
+    bad = lambda: " ".join(w.upper() + "!!" for w in words(rng, 60, 30))
+    data = [(i, good() if i % 2 else bad(), "a") for i in range(300)] + [(900, None, "a"), (None, good(), "a"), (901, "", "a")]
+    labels = [(i, i % 2) for i in range(200)] + [(5, None), (None, 1), (7, 9)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_scores(frame(spark, data), lab).collect()}
+    assert len(got) == len(data)
+    for i, r in got.items():
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (None if i is None else crc32(str(i).encode()) % 3 == 1)
+    unseen = [i for i in range(300) if crc32(str(i).encode()) % 3 == 1 or i >= 200]
+    assert sum(got[i].predicted == i % 2 for i in unseen) > 0.97 * len(unseen)
+    assert {r.score for r in quality_scores(frame(spark, data), lab.limit(0)).collect()} == {0.5}
+    assert quality_scores(frame(spark, []), lab).count() == 0
+    held = spark.createDataFrame([(i, 1 - q if crc32(str(i).encode()) % 3 == 1 else q) for i, q in labels if i is not None and q is not None], "doc_id long, quality int")
+    assert {r.doc_id: r.score for r in quality_scores(frame(spark, data), held).collect()} == {i: r.score for i, r in got.items()}
+
+
+def test_isotonic():
+    assert isotonic(np.ones(5), np.array([1.0, 0, 1, 3, 2])).tolist() == [0.5, 0.5, 1, 2.5, 2.5]
