@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The JVM's word boundary is Unicode-aware; this one knows ASCII words only.
@@ -81,3 +81,15 @@ def once(value: Column) -> Column:
     It moves filters and null checks through projections by writing the column's expression into them; for a chain of
     regular expressions that repeats the work and, link by link, multiplies the plan. It doesn't for what isn't deterministic."""
     return F.when(F.rand(0) >= 0, value)
+
+
+def spread(rows: DataFrame, key: str, mb: int = 32) -> DataFrame:
+    """rows over at least two tasks a core, for work that costs far more than moving them.
+
+    Input that is large enough already comes in that many parts and stays as it is."""
+    parts = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))  # a join's own estimate is a product
+    if size > (parts * mb) << 20:
+        return rows
+    return rows.repartition(parts, key)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions.normalize import with_spans, with_template
+from sievemill.functions.regexes import spread
 from sievemill.operators.match import Catalog, parse
 from sievemill.sources import catalog as catalogs
 
@@ -71,7 +72,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_messages without blank bodies."""
-    return raw_messages(spark, sf_dir).where(F.trim("body") != "")
+    return spread(raw_messages(spark, sf_dir).where(F.trim("body") != ""), "seq")
 
 
 def kept(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import heuristic, lexicon, normalize
-from sievemill.functions.regexes import trimmed
+from sievemill.functions.regexes import spread, trimmed
 from sievemill.operators import baseline, cluster, corpus, coverage, export, families, health, shapes
 from sievemill.operators.match import FLAG_COLUMNS, sender_bank
 from sievemill.plans import messages as M
@@ -41,7 +41,7 @@ def normalize_messages(spark, sf_dir):
 
 @query
 def normalize_documents(spark, sf_dir):
-    d = _documents(spark, sf_dir).repartition("seq")  # one file is one task else
+    d = spread(_documents(spark, sf_dir), "seq")
     return normalize.with_template(d, "body").select("seq", F.md5(F.col("template").cast("binary")).alias("template_md5"), F.length("template").cast("long").alias("n_chars"))
 
 
