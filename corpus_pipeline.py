@@ -1,7 +1,7 @@
 """From raw documents to a mixed training corpus, in five stages.
 
 Each stage takes what its predecessor kept, as it was written and read again, and all but the last return
-the columns of documents. SQL can't express the stages' models and hashes; the tests hold each against brute force."""
+the columns of documents. What a stage decides holds for the row, not for its id, which may be null or repeated. SQL can't express the stages' models and hashes; the tests hold each against brute force."""
 
 from __future__ import annotations
 
@@ -20,27 +20,43 @@ from sievemill.llm.shared import stored
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those with one of the ids; a null id is never among them. The ids, which are fewer, are written first, so
+#: Name of the rows' own key within a stage.
+ROW = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, null and repeated ids included; written, so that the key stays the row's."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The keyed docs but those rows, without the key. The rows to drop, which are fewer, are written first, so
     that the join knows their size and sends them to all tasks only if they are few."""
-    gone = stored(ids.select(F.col("doc_id").alias("gone")).where("gone is not null").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = stored(rows.select(F.col(ROW).alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs[ROW] == gone["gone"], "left_anti").drop(ROW)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier scores below 0.5."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = _keyed(docs)
+    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
     return _without(docs, scores.where("predicted = 0"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents keep the one with the smallest id."""
-    return _without(docs, near_duplicates(docs).where("doc_id <> group_id"))
+    """Of each group of similar documents keep one row: that with the smallest id, of equal ids the first; a null id is last."""
+    docs = _keyed(docs)
+    groups = near_duplicates(docs, ROW).join(docs.select(F.col(ROW).alias("r"), "doc_id"), F.col(ROW) == F.col("r"))
+    groups = stored(groups.select(ROW, "group_id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW).alias("rank")), "groups")
+    best = groups.groupBy(F.col("group_id").alias("g")).agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _without(docs, groups.join(best, F.col("group_id") == F.col("g")).where(f"{ROW} <> best.{ROW}"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
-    return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Drop documents that hold a benchmark passage, also one whose item has no id."""
+    docs = _keyed(docs)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("_item", F.monotonically_increasing_id())
+    return _without(docs, leaks(docs, items, id_col=ROW, item_col="_item"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,17 +24,19 @@ FEATURES, PENALTY, WIDTH, GRID = 256, 1e-3, 4.0, 2000
 LOW, HIGH = -0.5, 1.5
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the statistics of each text, written to the shared folder; null counts as empty."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id, row_col if there is one, and the statistics of each text, written to the shared folder; null counts as empty."""
+    names = ["id", *[row_col] * bool(row_col)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, part in slices(texts(batch.column("text"))):
                 x = statistics(part)
-                yield pa.RecordBatch.from_arrays([batch.column("id")[i:j], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["id", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in names), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], [*names, "x"])
 
-    d = own_columns(docs, id_col, text_col).toDF("id", "text")
-    return stored(d.mapInArrow(rows, f"id {dict(d.dtypes)['id']}, x array<float>"), "statistics")
+    d = own_columns(docs, id_col, *names[1:], text_col).toDF(*names, "text")
+    kinds = dict(d.dtypes)
+    return stored(d.mapInArrow(rows, ", ".join(f"{c} {kinds[c]}" for c in names) + ", x array<float>"), "statistics")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -151,28 +153,29 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """id_col and score, from 0 to 1, of each row of stats."""
+def score(stats: DataFrame, model: Model, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+    """id_col, row_col if there is one, and score, from 0 to 1, of each row of stats."""
+    names = ["id", *[row_col] * bool(row_col)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.scores(matrix(b.column("x"))))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(model.scores(matrix(b.column("x"))))], [*names, "score"])
 
-    kind = dict(stats.dtypes)["id"]
-    return stats.mapInArrow(rows, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    kinds = dict(stats.dtypes)
+    return stats.mapInArrow(rows, ", ".join(f"{c} {kinds[c]}" for c in names) + ", score double").withColumnRenamed("id", id_col)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """Score every document; learn from labels whose id has crc32(text of id) mod 3 other than 1.
 
-    Returns id_col, held_out, score, predicted (1 if score >= 0.5). Only the text goes into a score. A null
+    Returns id_col, row_col (a key of the rows, if one is named), held_out, score, predicted (1 if score >= 0.5). Only the text goes into a score. A null
     id is scored too (held_out is null); its label is not used. A null or empty text has the statistics of an
     empty one. Labels other than 0 and 1 and null ones don't count; a document with several labels counts once
     for each. Repeated ids are scored one by one. Without usable labels every score is 0.5."""
     fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(3))
-    stats = document_statistics(docs, id_col, text_col)
+    stats = document_statistics(docs, id_col, text_col, row_col)
     y = own_columns(labels, id_col, label_col).toDF("id", "y").where("y in (0, 1)")
     model = fit(stats, y.where(fold("id") != 1).withColumn("half", (fold("id") / 2).cast("int")))
-    out = score(stats, model, "id")
-    return out.select(F.col("id").alias(id_col), (fold("id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = score(stats, model, "id", row_col)
+    return out.select(F.col("id").alias(id_col), *[row_col] * bool(row_col), (fold("id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
