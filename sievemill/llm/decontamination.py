@@ -4,14 +4,16 @@ Texts are sequences of words without case and ASCII punctuation. An item of n wo
 within RATE * n edits (words inserted, deleted, replaced). Only places can leak that share enough of the item's runs of
 q words: k edits spoil at most k * q of them, which no leak escapes. At the windows around such places, as long as the item,
 a random walk (CGK) turns edit distance into Hamming distance; each repetition samples few steps of its walk
-and looks the sample up among those of the items. The number of repetitions follows from the target recall, by the
-collision rate of items edited at random. What collides is verified by its exact edit distance."""
+and looks the sample up among those of the items. Each length of item has its own number of repetitions, by the recall
+counted on items of that length edited at random; where no number in reach gives the target recall, as for long items, the
+step is left out. What collides, or isn't hashed, is verified by its exact edit distance."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,11 @@ from sievemill.llm.near_dedup import folded
 from sievemill.llm.shared import own_columns, stored
 from sievemill.llm.text import FIRST, _mix, slices, texts
 
-#: Edits per word of an item, recall of the hashing, sampled steps a repetition, most repetitions.
-RATE, RECALL, SAMPLED, MOST_REPETITIONS = 0.2, 0.99, 2, 64
+#: Edits per word of an item, recall of the hashing, sampled steps a repetition.
+RATE, RECALL, SAMPLED = 0.2, 0.99, 2
+#: Random items by which the recall is counted. Items that need more repetitions than the most, or have more words than the
+#: longest, aren't hashed: all their candidates are compared exactly, so none is lost.
+TRIALS, MOST_REPETITIONS, LONGEST_HASHED = 500, 64, 64
 #: Shorter items must occur unedited.
 LEAST_EDITABLE = 8
 #: Bytes of items sent to tasks at once; a larger benchmark takes several passes over the documents.
@@ -76,23 +81,33 @@ def edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def repetitions(items: list[np.ndarray], recall: float = RECALL, trials: int = 200) -> int:
-    """So many that items with the most edits allowed collide in one with probability `recall`, by simulation."""
-    rng = np.random.Generator(np.random.PCG64(3))
-    items = [w for w in items if int(RATE * len(w)) > 0]
-    if not items:
+def repetitions(n: int, k: int, recall: float = RECALL, trials: int = TRIALS) -> int | None:
+    """So many that items of n words with k edits collide in one of them with probability `recall`; None if
+    MOST_REPETITIONS don't reach it.
+
+    Counted on random items, each tried with the very repetitions that an index uses, so neither edits that
+    spoil many repetitions at once nor repetitions unlucky for this n are averaged away."""
+    if not k:
         return 1
-    hits = 0
+    rng = np.random.Generator(np.random.PCG64([3, n]))
+    rows = np.zeros((2 * trials, n), np.uint64)
     for t in range(trials):
-        w = items[int(rng.integers(len(items)))]
-        n = len(w)
-        other = edited(w, int(RATE * n), rng)[:n]
-        rows = np.zeros((2, n), np.uint64)
-        rows[0], rows[1, : len(other)] = w, other
-        a = bucket(rows, t, n)
-        hits += a[0] == a[1]
-    p = max(hits, 1) / trials
-    return int(min(MOST_REPETITIONS, max(4, np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.99))))))
+        w = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        other = edited(w, k, rng)[:n]
+        rows[t], rows[trials + t, : len(other)] = w, other
+    open_ = np.arange(trials)
+    for r in range(MOST_REPETITIONS):
+        keys = bucket(np.concatenate([rows[open_], rows[trials + open_]]), r, n)
+        open_ = open_[keys[: len(open_)] != keys[len(open_) :]]
+        if len(open_) <= (1 - recall) * trials:
+            return r + 1
+    return None
+
+
+@lru_cache(maxsize=None)
+def settled_repetitions(n: int, k: int) -> int | None:
+    """repetitions, for items short enough that hashing their windows may cost less than comparing them."""
+    return repetitions(n, k) if n <= LONGEST_HASHED else None
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -121,14 +136,14 @@ class Item:
     k: int
     q: int
     need: int
-    keys: np.ndarray
+    #: one for each repetition; None if the item isn't hashed
+    keys: np.ndarray | None
 
 
 class Index:
     """Items with their runs of words by hash, and their buckets."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray]):
-        self.repetitions = repetitions(words)
         self.items: list[Item] = []
         grams: dict[int, dict[int, list[int]]] = {1: defaultdict(list), 2: defaultdict(list), 3: defaultdict(list)}
         for i, w in zip(ids, words):
@@ -137,7 +152,9 @@ class Index:
                 continue
             k = int(RATE * n) if n >= LEAST_EDITABLE else 0
             q = min(3, n)
-            item = Item(i, w, k, q, n - q + 1 - k * q, np.array([bucket(w[None], r, n)[0] for r in range(self.repetitions)], np.uint64))
+            times = settled_repetitions(n, k)
+            keys = None if times is None else np.array([bucket(w[None], r, n)[0] for r in range(times)], np.uint64)
+            item = Item(i, w, k, q, n - q + 1 - k * q, keys)
             for g in FIRST.windows(w, q).tolist():
                 grams[q][g].append(len(self.items))
             self.items.append(item)
@@ -185,11 +202,12 @@ class Index:
             if not len(dense):
                 continue
             lo, hi = max(int(offs[t]), int(dense[0]) - n - k), min(int(offs[t + 1]), int(places[-1]) + n + k)
-            starts = np.unique(np.clip((dense[:, None] + np.arange(-n - k, k + 1)[None]).ravel(), offs[t], offs[t + 1] - 1))
-            padded = np.concatenate([h[: offs[t + 1]][lo:], np.zeros(n, np.uint64)])
-            windows = padded[(starts - lo)[:, None] + np.arange(n)[None]]
-            if not any((bucket(windows, r, n) == item.keys[r]).any() for r in range(self.repetitions)):
-                continue
+            if item.keys is not None:
+                starts = np.unique(np.clip((dense[:, None] + np.arange(-n - k, k + 1)[None]).ravel(), offs[t], offs[t + 1] - 1))
+                padded = np.concatenate([h[: offs[t + 1]][lo:], np.zeros(n, np.uint64)])
+                windows = padded[(starts - lo)[:, None] + np.arange(n)[None]]
+                if not any((bucket(windows, r, n) == key).any() for r, key in enumerate(item.keys)):
+                    continue
             d, first, size = located(item.words, h[lo:hi])
             if d <= k:
                 found.append((t, item.id, lo + first - int(offs[t]), size, d))

@@ -270,6 +270,21 @@ def test_leaks(spark, rows):
     assert leaks(frame(spark, []), bench).count() == 0 and leaks(data, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_long_items_beside_short_ones():
+    """Recall holds for each length, not for the lengths on average."""
+    rng = np.random.default_rng(12)
+    lengths = [20] * 95 + [40, 60, 160, 160, 300, 300]
+    items = [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in lengths]
+    index = decontamination.Index(list(range(len(items))), items)
+    found = planted = 0
+    for i in range(95, len(items)):
+        for _ in range(12):
+            text = np.concatenate([rng.integers(1, 1 << 62, 50).astype(np.uint64), decontamination.edited(items[i], int(0.2 * lengths[i]), rng), rng.integers(1, 1 << 62, 50).astype(np.uint64)])
+            planted += 1
+            found += any(hit[1] == i for hit in index.leaks(text, np.zeros(len(text), np.int64), np.array([0, len(text)])))
+    assert planted == 72 and found >= 71
+
+
 def test_leaks_in_parts(spark, rows, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(rows[20 + i][1].split()[:30])) for i in range(8)], "item_id long, text string")
     whole = sorted(map(tuple, leaks(frame(spark, rows), items).collect()))
