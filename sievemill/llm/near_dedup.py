@@ -6,10 +6,11 @@ arrival at a register names its shingle. Arrivals are drawn in time order and st
 is filled (early termination), so a long text costs hardly more than a short one. Two texts agree in a register
 with the probability of their probability Jaccard similarity.
 
-Texts whose words are the same are one class and compared once. Classes that share a band are candidates;
-the whole signatures decide. A band that many classes share is cut into tiles of two blocks each, spread over
+Texts whose words are the same are one class and compared once. Classes that share a band are candidates.
+Whole signatures decide those that agree far more or far less than the threshold; pairs within MARGIN of it are decided
+by the exact similarity of all their shingles. A band that many classes share is cut into tiles of two blocks each, spread over
 tasks, so no task holds it whole; a pair is counted in the first band it shares. Tasks return counts and a
-spanning forest of their links, never the pairs."""
+spanning forest of their links, and of the pairs only those near the threshold."""
 
 from __future__ import annotations
 
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.shared import own_columns, stored
 from sievemill.llm.stats import keyed
-from sievemill.llm.text import FIRST, SECOND, SEPARATOR, Texts, _mix, slices, texts
+from sievemill.llm.text import FIRST, SECOND, SEPARATOR, Texts, Words, _mix, slices, texts
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 42, 3, 0.5
 REGISTERS = BANDS * ROWS
+#: Pairs whose estimate is this near the threshold are decided exactly: four standard errors at 0.5.
+MARGIN = 0.18
+#: Keys of classes to decide are sent to tasks as so many bits at most.
+KEY_BITS = 20
 #: Classes of one block of a band.
 BLOCK = 2048
 _DROP = np.zeros(256, bool)
@@ -84,27 +89,68 @@ def _signatures(h: np.ndarray, of: np.ndarray, w: np.ndarray, n: int) -> np.ndar
         alive = np.flatnonzero(open_[of] & (t <= limit[of]))
 
 
-def signatures(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each text's words, number of words, and signature."""
-    words = folded(part).words(SEPARATOR)
-    n, counts = len(part), words.counts
-    h, of = words.hashes(), words.text_of
-    # all words of a text in order: differences of one rolling sum
+def _whole(words: Words, h: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text in order: differences of one rolling sum."""
     up, down = SECOND.words(len(h) + 1)
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=sums[1:])
-    whole = _mix((sums[words.offs[1:]] - sums[words.offs[:-1]]) * down[words.offs[:-1]] + counts.astype(np.uint64))
+    return _mix((sums[words.offs[1:]] - sums[words.offs[:-1]]) * down[words.offs[:-1]] + words.counts.astype(np.uint64))
+
+
+def _shingles(words: Words, h: np.ndarray, whole: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text (of those in `only`), the text and the weight of each, by text."""
+    counts, of = words.counts, words.text_of
     starts = words.window_starts(SHINGLE)
     s, s_of = FIRST.windows(h, SHINGLE)[starts] if len(starts) else h[:0], of[starts]
     short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
     s, s_of = np.concatenate([s, whole[short]]), np.concatenate([s_of, short])
+    if only is not None:
+        s, s_of = s[only[s_of]], s_of[only[s_of]]
     key = keyed(s, s_of)
     order = np.argsort(key, kind="stable")
     new = np.r_[True, np.diff(key[order]) != 0] if len(order) else np.zeros(0, bool)
     at = order[new]
     w = np.diff(np.r_[np.flatnonzero(new), len(order)]).astype(np.float64)
     by = np.argsort(s_of[at], kind="stable")
-    return whole, counts, _signatures(s[at][by], s_of[at][by], w[by], n)
+    return s[at][by], s_of[at][by], w[by]
+
+
+def signatures(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each text's words, number of words, and signature."""
+    words = folded(part).words(SEPARATOR)
+    h = words.hashes()
+    whole = _whole(words, h)
+    return whole, words.counts, _signatures(*_shingles(words, h, whole), len(part))
+
+
+def shingle_sets(part: Texts, bits: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Class keys whose low bits are set, each once, and their shingles: sorted hashes, then weights."""
+    words = folded(part).words(SEPARATOR)
+    h = words.hashes()
+    whole = _whole(words, h)
+    only = np.zeros(len(part), bool)
+    only[np.unique(whole, return_index=True)[1]] = True
+    only &= bits[whole & np.uint64(len(bits) - 1)] & (words.counts > 0)
+    s, of, w = _shingles(words, h, whole, only)
+    order = np.lexsort((s, of))
+    s, w = s[order], w[order].astype(np.uint32)
+    named = np.flatnonzero(only)
+    lo, hi = np.searchsorted(of, named, "left").tolist(), np.searchsorted(of, named, "right").tolist()
+    return whole[named].view(np.int64).tolist(), [s[a:b].tobytes() + w[a:b].tobytes() for a, b in zip(lo, hi)]
+
+
+def similarity(one: bytes, other: bytes) -> float:
+    """Probability Jaccard similarity of two sets of weighted shingles."""
+    n, m = len(one) // 12, len(other) // 12
+    _, i, j = np.intersect1d(np.frombuffer(one, np.uint64, n), np.frombuffer(other, np.uint64, m), assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    v, w = np.frombuffer(one, np.uint32, n, 8 * n).astype(np.float64), np.frombuffer(other, np.uint32, m, 8 * m).astype(np.float64)
+    order = np.argsort(v[i] / w[j], kind="stable")
+    x, y = v[i][order], w[j][order]
+    # of max(x_j / x_i, y_j / y_i) the first is larger from i on in the order of x / y, the second before
+    above, below = v.sum() - np.cumsum(x) + x, w.sum() - y.sum() + np.cumsum(y) - y
+    return float((1 / (above / x + below / y)).sum())
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,9 +168,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(tile: np.ndarray, band: np.ndarray, block: np.ndarray, mixed: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows a < b of one tile that are similar and share no earlier band. tile: equal for the rows of a tile, which are together."""
-    found_a, found_b = [], []
+def _links(tile: np.ndarray, band: np.ndarray, block: np.ndarray, mixed: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows a < b of one tile that may be similar and share no earlier band, and whether they are beyond doubt. tile: equal for the rows of a tile, which are together."""
+    found_a, found_b, found_sure = [], [], []
     n = len(tile)
     size = np.diff(np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), n]).max() if n else 0
     at, d = np.arange(n), 0
@@ -139,11 +185,13 @@ def _links(tile: np.ndarray, band: np.ndarray, block: np.ndarray, mixed: np.ndar
             a = pairs[i : i + 4096]
             same = sig[a] == sig[a + d]
             first = same.reshape(len(a), BANDS, ROWS).all(2).argmax(1)
-            hit = (first == band[a]) & (same.sum(1) >= threshold * REGISTERS)
+            agree = same.sum(1)
+            hit = (first == band[a]) & (agree >= (threshold - MARGIN) * REGISTERS)
             found_a.append(a[hit])
             found_b.append(a[hit] + d)
+            found_sure.append(agree[hit] >= (threshold + MARGIN) * REGISTERS)
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b]), np.concatenate([none.astype(bool), *found_sure])
 
 
 def _compare(threshold: float):
@@ -157,7 +205,11 @@ def _compare(threshold: float):
             key, band, block = col("key"), col("band").astype(int), col("block")
             tile = keyed(_mix(col("bucket").view(np.uint64) + np.uint64(1)), (col("i").astype(np.int64) << 32) + col("j"))
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(key), REGISTERS)
-            a, b = _links(tile, band, block, col("i") != col("j"), sig, threshold)
+            a, b, sure = _links(tile, band, block, col("i") != col("j"), sig, threshold)
+            if not sure.all():
+                open_a, open_b = key[a[~sure]], key[b[~sure]]
+                yield pa.RecordBatch.from_arrays([pa.array(open_a), pa.array(open_b), pa.nulls(len(open_a), pa.int64())], ["key", "root", "n"])
+                a, b = a[sure], b[sure]
             if len(a):
                 keys, place = np.unique(key, return_inverse=True)
                 count = np.bincount(place[a], minlength=len(keys)) + np.bincount(place[b], minlength=len(keys))
@@ -183,6 +235,38 @@ def _compare(threshold: float):
     return rows
 
 
+def _decided(d: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame | None:
+    """(key, root, n) of those pairs (key, root) of classes whose exact similarity is at least the threshold; None if there are none to
+    decide. The texts, d, are read once more; only shingles of classes in pairs are shuffled, once for each pair."""
+    mask = (1 << KEY_BITS) - 1
+    named = pairs.select("key").union(pairs.select("root")).distinct()
+    low = named.select(F.col("key").bitwiseAND(F.lit(mask)).alias("low")).distinct().toArrow()["low"].to_numpy()
+    if not len(low):
+        return None
+    bits = np.zeros(mask + 1, bool)
+    bits[low] = True
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, part in slices(texts(batch.column("text"))):
+                keys, found = shingle_sets(part, bits)
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "shingles"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [similarity(x.as_buffer(), y.as_buffer()) >= threshold - 1e-9 for x, y in zip(batch.column("one"), batch.column("other"))]
+            a, b = (batch.column(c).to_numpy()[np.array(alike, bool)] for c in ("key", "root"))
+            root = np.minimum(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[root, root]), pa.array(np.ones(2 * len(a), np.int64))], ["key", "root", "n"])
+
+    whole = d.select("text").mapInArrow(sets, "key long, shingles binary").join(named, "key", "left_semi")
+    whole = stored(whole.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "shingles")
+    both = pairs.join(whole.withColumnRenamed("shingles", "one"), "key")
+    both = both.join(whole.select(F.col("key").alias("root"), F.col("shingles").alias("other")), "root").select("key", "root", "one", "other")
+    return stored(both.mapInArrow(rows, "key long, root long, n long"), "decided")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root): the smallest key that each is connected to; links are (a, b). Keys without links don't occur.
 
@@ -206,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Classes of equal texts and groups of similar ones.
 
     Returns id_col; class_id, the smallest id whose text has the same words (without case and ASCII punctuation);
-    n_copies, rows of that class; n_links, other classes whose estimated similarity is at least the threshold;
+    n_copies, rows of that class; n_links, other classes that share a band and whose similarity is at least the threshold (exact within MARGIN of it);
     group_id, the smallest id that links connect it to. A null text counts as empty; texts without words are one class
     without links. A row with a null id belongs to the class of its text but never names it; a class of null ids
     alone has a null class_id, and a group of those a null group_id. Rows that repeat an id are handled one by one. An empty
@@ -230,6 +314,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.select("bucket", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     tiles = members.join(classes.select("key", "sig"), "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     links = stored(tiles.mapInArrow(_compare(threshold), "key long, root long, n long"), "counts")
+    decided = _decided(d, links.where("n is null").select("key", "root"), threshold)
+    links = links.where("n is not null")
+    links = links if decided is None else links.union(decided)
     group = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     known = classes.drop("sig").join(links.groupBy("key").agg(F.sum("n").alias("n_links")), "key", "left").join(group, "key", "left")
     known = known.withColumn("root", F.coalesce("root", "key"))

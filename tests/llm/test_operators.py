@@ -229,6 +229,31 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - _jaccard(weights(a), weights(b))) < 0.15
 
 
+def test_links_near_the_threshold_are_exact(spark):
+    """Pairs a little above and below 0.5 are linked by their shingles, not by the estimate."""
+    rng = random.Random(31)
+    data, expected = [], {}
+    for p in range(120):
+        w = words(rng, 120, 10**6)
+        v = w[: 78 + p % 6] + words(rng, 42 - p % 6, 10**6)  # about 0.47 to 0.53
+        one, other = (Counter(tuple(x[i : i + 3]) for i in range(118)) for x in (w, v))
+        for i, x in ((2 * p, w), (2 * p + 1, v)):
+            data.append((i, " ".join(x), "a"))
+            expected[i] = _jaccard(one, other) >= 0.5
+    got = {r.doc_id: r.n_links for r in near_duplicates(frame(spark, data)).collect()}
+    assert 60 < sum(expected.values()) < 180
+    wrong = [i for i in expected if got[i] != expected[i]]
+    assert len(wrong) <= 4 and not any(got[i] for i in wrong)  # only that no band is shared may lose a link
+
+
+def test_exact_similarity():
+    a = "x y z " * 6 + " ".join(f"a{i}" for i in range(60))
+    b = "x y z " * 2 + " ".join(f"a{i}" for i in range(20, 75))
+    keys, sets = near_dedup.shingle_sets(texts(pa.array([a, b, a])), np.ones(1 << near_dedup.KEY_BITS, bool))
+    weights = [Counter(tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)) for t in (a, b)]
+    assert len(keys) == 2 and abs(near_dedup.similarity(*sets) - _jaccard(*weights)) < 1e-12
+
+
 def test_tiles_count_each_pair_once(spark, monkeypatch):
     """A band cut into blocks gives the same links as one that isn't."""
     rng = random.Random(2)
