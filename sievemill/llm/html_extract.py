@@ -21,14 +21,18 @@ from pyspark.sql import DataFrame
 from sievemill.llm.shared import own_columns
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|/[^>]*(?:>|\Z))", re.S)
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "svg", "math", "select", "object", "noembed", "noframes", "plaintext")}
-_BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset legend address details summary dialog menu center hgroup search button label head".split())
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in ("script", "style", "textarea", "title", "iframe", "template", "noembed", "noframes")}
+#: Elements within a block that hold text, and may hold blocks; an unclosed one ends with the element around it.
+_WITHIN = {"noscript", "object", "svg", "math"}
+#: What a head may hold; any other start tag, and text, ends it.
+_IN_HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+_BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset legend address details summary dialog menu center hgroup search button label head select xmp plaintext".split())
 _VOID_BREAK = {"hr"}
 #: A new element of the first kind ends an open one of the others.
-_CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tbody": {"thead", "tbody", "tr", "td", "th", "p"}, "body": {"head"}}
+_CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tbody": {"thead", "tbody", "tr", "td", "th", "p"}}
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "main", "nav", "aside", "footer", "header", "form", "blockquote"}
 _TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "table", "td", "blockquote", "pre", "figure", "button", "address", "dialog", "body")
-_SAME = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "dl": "ul", "menu": "nav", "dt": "li", "dd": "li", "th": "td", "tr": "table", "tbody": "table", "thead": "table", "figcaption": "figure", "label": "button", "fieldset": "form", "legend": "form", "search": "form", "html": "body", "hgroup": "section", "details": "section", "summary": "p", "center": "div", "caption": "p", "tfoot": "table"}
+_SAME = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "dl": "ul", "menu": "nav", "dt": "li", "dd": "li", "th": "td", "tr": "table", "tbody": "table", "thead": "table", "figcaption": "figure", "label": "button", "fieldset": "form", "legend": "form", "search": "form", "html": "body", "hgroup": "section", "details": "section", "summary": "p", "center": "div", "caption": "p", "tfoot": "table", "select": "button", "xmp": "pre", "plaintext": "pre"}
 _HINTS = (
     ("ad", "ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner doubleclick adsense commercial"),
     ("menu", "nav navbar navigation menu menus breadcrumb breadcrumbs topbar toolbar pagination pager toc tabs skip links"),
@@ -73,6 +77,10 @@ def parse(html: str) -> Page:
     pending: list[str] = []
     links = link_chars = 0
 
+    def end_head() -> None:
+        if len(stack) > 1 and stack[1][0] == "head":
+            del stack[1:]
+
     def flush() -> None:
         nonlocal link_chars
         if pending:
@@ -80,7 +88,8 @@ def parse(html: str) -> Page:
             if "&" in text:
                 text = unescape(text)
             text = " ".join(text.split())
-            if text and not any(t == "head" for t, _ in stack):
+            if text:
+                end_head()
                 page.blocks.append((stack[-1][1], text, min(link_chars, len(text))))
             pending.clear()
         link_chars = 0
@@ -111,14 +120,35 @@ def parse(html: str) -> Page:
         if not tag:
             continue
         tag, close, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if not close and tag not in _IN_HEAD:
+            end_head()
         if tag in _RAW and not close:
-            if not attrs.endswith("/") or tag not in ("svg", "math"):
+            foreign = any(t in ("svg", "math") for t, _ in stack)
+            if not (foreign and attrs.endswith("/")):
                 end = _RAW[tag].search(html, at)
                 at = end.end()
                 if at < n:
                     gt = html.find(">", at)
                     at = n if gt < 0 else gt + 1
             pending.append(" ")
+        elif tag in _WITHIN:
+            pending.append(" ")
+            if not close:
+                if not (attrs.endswith("/") and tag in ("svg", "math")):
+                    stack.append((tag, stack[-1][1]))
+                continue
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == tag:
+                    if stack[-1][1] != stack[k][1]:
+                        flush()
+                    del stack[k:]
+                    break
+                if stack[k][0] in ("td", "th"):
+                    break
+        elif tag in ("option", "optgroup"):
+            pending.append(" ")
+        elif tag == "head" and not close and (len(stack) > 1 or len(page.tag) > 1 or page.blocks or "".join(pending).strip()):
+            pass  # browsers ignore a head once the body has begun
         elif tag == "a":
             links = 0 if close else 1
         elif tag in ("br", "img", "input", "wbr"):
@@ -135,6 +165,8 @@ def parse(html: str) -> Page:
                 elif tag == "body":
                     pass
                 continue
+            if any(t == "select" for t, _ in stack):  # an unclosed one holds no blocks
+                del stack[next(k for k, (t, _) in enumerate(stack) if t == "select") :]
             if tag == "body":
                 while len(stack) > 1:
                     stack.pop()
@@ -149,6 +181,12 @@ def parse(html: str) -> Page:
                 elif stack[k][0] in _SCOPE and stack[k][0] not in ends:
                     break
             add(tag, attrs)
+            if tag in ("xmp", "plaintext"):
+                # shown as it is, tags and all
+                end = html.lower().find("</xmp", at) if tag == "xmp" else -1
+                end = n if end < 0 else end
+                pending.append(html[at:end].replace("&", "&amp;"))
+                at = end
     flush()
     return page
 

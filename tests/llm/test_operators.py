@@ -168,6 +168,21 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_browsers_show():
+    def shown(html):
+        return [t for _, t, _ in html_extract.parse(html).blocks]
+
+    assert shown("<html><head><title>T</title><meta name=a><p>One.<p>Two.") == ["One.", "Two."]
+    assert shown("<head><style>a{}</style><script>b</script>Bare text.<div>In.</div>") == ["Bare text.", "In."]
+    assert shown("<head><title>T</title></head><body><p>One.</p><head><p>Two.</p>") == ["One.", "Two."]
+    assert shown("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>And <svg><title/><text>label</text></svg> too.</p>") == ["Let x=1 hold.", "And label too."]
+    assert shown("<div><object data=a>Fallback.</object><noscript><p>Plain &amp; text.</p></noscript></div><p>On.") == ["Fallback.", "Plain & text.", "On."]
+    for tag in ("object", "svg", "math", "noscript", "select"):
+        assert shown(f"<div><p>One.<{tag}>in</p></div><p>Two.</p>")[-1] == "Two.", tag
+        assert "in" in " ".join(shown(f"<div><p>One.<{tag}>in</p></div><p>Two.</p>")), tag
+    assert shown("<p>One.</p><xmp><b>&amp;</b></xmp><p>Two.</p><script>no") == ["One.", "<b>&amp;</b>", "Two."]
+
+
 def test_html_messages_equal_enumeration():
     """Sum-product marginals against a sum over all labellings of a small tree."""
     page = html_extract.parse("<div class=ad><p>a</p><p>b. c</p></div><article><p>d, e</p></article>")
