@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Parquet text takes about this many bytes in memory for each byte on disk.
 UNPACKED = 2
+#: A key with more than one in so many rows is joined without a shuffle.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -34,6 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, copies: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has each key once and in `copies` how many of left's `total` rows hold it.
+
+    Keys that hold more than one in HOT rows are at most HOT; those are sent to all tasks, so their rows stay where they
+    are. Only the other rows are shuffled. left is read twice, so it should be stored or a scan. how: inner or left."""
+    hot = F.col(copies) > total / HOT
+    most, rest = F.broadcast(right.where(hot)), right.where(~hot)
+    return left.join(most, key).unionByName(left.join(most.select(key), key, "left_anti").join(rest, key, how))
+
+
 def text_bytes(df: DataFrame) -> int:
     """About how many bytes df's rows take in memory, from the planner's statistics."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

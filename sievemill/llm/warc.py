@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.shared import own_columns, shared_dir, stored
+from sievemill.llm.shared import joined, own_columns, shared_dir, stored
 
 #: Ranges at most this far apart are read together, up to so many bytes.
 GAP, MOST = 64 << 10, 8 << 20
@@ -69,17 +69,17 @@ def write(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_c
     """Write a record per page to the shared folder; return the index.
 
     Of pages with equal payloads of at least least_bytes, those with the smallest id are responses, the others
-    revisits of it. A null html is an empty payload. A null id is larger than any other; among null ids alone,
-    all are responses. Rows that repeat an id and its payload have the same type. An empty table gives an empty index."""
+    revisits of it. A null html is an empty payload. A null id is larger than any other, and no other id is taken for it; among null ids
+    alone, all are responses. So each payload has a response. Rows that repeat an id and its payload have the same type, whatever their urls. Payloads of any
+    length are written whole. Other columns are ignored, whatever their names. An empty table gives an empty index. Ids are integers."""
     p = own_columns(pages, id_col, url_col, html_col).toDF("page_id", "url", "html")
     p = p.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("sha1", F.sha1("payload"))
-    # copies are counted by digest before any row moves, then told by page: no task gets all copies of a page
-    slim = p.select("page_id", "url", "sha1", F.octet_length("payload").alias("n"))
-    first = slim.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and refers_to is not null")
-    key = lambda: (F.coalesce("page_id", F.lit(-1)).alias("k_id"), F.coalesce("url", F.lit("")).alias("k_url"), F.col("sha1").alias("k_sha1"))
-    revisit = slim.join(first, "sha1").where("page_id is null or page_id > refers_to").select(*key(), "refers_to").distinct()
-    rows = p.select("*", *key()).join(revisit, ["k_id", "k_url", "k_sha1"], "left").select("page_id", "url", "payload", "sha1", "refers_to")
+    # copies are counted by digest before any row moves; rows of a digest that very many share don't move at all
+    first = p.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null")
+    first = stored(first, "first")
+    rows = joined(p, first, "sha1", "copies", p.count(), "left")
+    rows = rows.select("page_id", "url", "payload", "sha1", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to"))
     folder = shared_dir(pages.sparkSession, "warc")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

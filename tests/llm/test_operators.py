@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import decontamination, html_extract, near_dedup, pii, quality_rules, token_counts, warc
+from sievemill.llm import decontamination, html_extract, near_dedup, pii, quality_rules, shared, token_counts, warc
 from sievemill.llm.decontamination import leaks
 from sievemill.llm.mixing import mix
 from sievemill.llm.near_dedup import near_duplicates
@@ -407,6 +407,25 @@ def test_warc_round_trip(spark):
     assert list(warc.ranges([(0, 5), (5, 5), (100, 5), (105, 50)], gap=10, most=60)) == [(0, 10, [(0, 5), (5, 5)]), (100, 155, [(100, 5), (105, 50)])]
 
 
+def test_warc_loses_no_payload(spark):
+    """Ids that stand for nothing, repeated rows and clashing urls: each payload keeps a response, and revisits name one."""
+    pages = [(-1, "u", "x"), (None, "u", "x"), (None, "u", "y"), (None, "v", "y"), (0, None, "z"), (0, "", "z"), (-1, None, "z"), (None, None, None), (None, "", ""), (2, "a", "x"), (2, "b", "x"), (-(2**63), "m", "w"), (2**63 - 1, "m", "w")]
+    got = warc.read(warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    kind = Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in got)
+    assert kind == Counter([(-1, "u", "response", None), (None, "u", "revisit", -1), (None, "u", "response", None), (None, "v", "response", None), (0, None, "revisit", -1), (0, "", "revisit", -1), (-1, None, "response", None), (None, None, "response", None), (None, "", "response", None), (2, "a", "revisit", -1), (2, "b", "revisit", -1), (-(2**63), "m", "response", None), (2**63 - 1, "m", "revisit", -(2**63))])
+    assert {bytes(r.payload) for r in got if r.payload is not None} == {(h or "").encode() for _, _, h in pages}
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_joined(spark, monkeypatch, hot):
+    """Hot keys, which aren't shuffled, and others give the rows of a plain join."""
+    monkeypatch.setattr(shared, "HOT", hot)
+    left = spark.createDataFrame([(None, -1), *((i % 7, i) for i in range(60)), *((100, i) for i in range(50))], "k long, v long")
+    right = left.where("k > 2").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("inner", "left"):
+        assert Counter(map(tuple, shared.joined(left, right, "k", "n", 111, how).collect())) == Counter(map(tuple, left.join(right, "k", how).collect()))
+
+
 def test_quality_scores(spark):
     rng = random.Random(1)
     good = lambda: " ".join(w + ("." if rng.random() < 0.1 else "") for w in words(rng, 80, 5000))
