@@ -1,18 +1,20 @@
 """Mixing sources to target weights: each source's documents in hash-random order, cut at its exact budget.
 
-The order is that of a hash of the id. A fixed number of hash ranges per source splits even a source
-that holds most rows; words are summed by range first, so only a small table of ranges is
-accumulated per source, and each document's place is found within its own range."""
+The order is that of a hash of id and text. Hash ranges split even a source that holds most rows; words are summed by range
+first, so only a small table of ranges is accumulated per source, and each document's place is found within its
+own range. Texts are read once; what is needed of them is written."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.llm.shared import own_columns
+from sievemill.llm.shared import HOT, own_columns, stored
 
-#: Hash ranges of a source (the first three hexadecimal digits of the key).
-DIGITS = 3
+#: About how many rows a hash range has; one of RANGE * EXCESS rows, and of one in HOT rows, is full of equal rows and is split among them.
+RANGE, EXCESS = 4096, 16
 WEIGHTS = (1, 2, 3)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,18 +40,28 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return s.select("source", "source_size", F.least(most * F.col("source_size").cast("double"), F.coalesce(F.col("open_level") * F.col("weight"), most * F.col("source_size").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
-    Returns id_col, size (words of the text; null: 0), source_size, target (of its source) and taken: whole epochs
-    of a source, then its documents by hash key until the budget, the target rounded, is used up; the document at
+    Returns id_col, row_col (a key of the rows, if one is named), size (words of the text; null: 0), source_size, target (of its source) and
+    taken: whole epochs of a source, then its documents by hash key until the budget, the target rounded, is used up; the document at
     the cut gives a part. So a source's taken words are exactly its rounded target, and none of its documents gives
-    more than `most` times its size. Documents with a null source are a source of their own, the last. Repeated
-    ids share a key and follow each other by size; equal rows are interchangeable. Null ids count as an empty id.
-    An empty table gives an empty one."""
-    d = own_columns(docs, id_col, source_col, text_col).toDF("id", "source", "text")
-    d = d.select("id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")).alias("key"))
-    d = d.withColumn("bin", F.substring("key", 1, DIGITS))
+    more than `most` times its size. Documents with a null source are a source of their own, the last; an empty source takes
+    nothing. Null and repeated ids are told apart by their texts; rows equal in both follow each other and are interchangeable. Whole texts are
+    counted, however long. Other columns are ignored, whatever their names. An empty table gives an empty one.
+
+    Sources are ranked in one task: their number, not their size, must fit there."""
+    rows = [row_col] * bool(row_col)
+    d = own_columns(docs, id_col, source_col, text_col, *rows).toDF("id", "source", "text", *["row"] * bool(row_col))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    d = stored(d.select("id", "source", *["row"] * bool(row_col), n_words(F.col("text")).alias("size"), key.alias("key"), F.spark_partition_id().alias("part")), "sizes")
+    n = d.count()
+    digits = max(1, math.ceil(math.log(max(n, 1) / RANGE, 16)))
+    d = d.withColumn("bin", F.substring("key", 1, digits))
+    # at most HOT ranges; equal rows in them are told apart by the task that read them
+    full = d.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(RANGE * EXCESS, n / HOT)).select(F.col("source").alias("s"), F.col("bin").alias("b"))
+    d = d.join(F.broadcast(full), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")), "left")
+    d = d.withColumn("bin", F.when(F.col("b").isNull(), F.col("bin")).otherwise(F.concat("key", F.lpad(F.col("part").cast("string"), 9, "0")))).drop("s", "b", "part")
     bins = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(before), F.lit(0).cast("long")))
@@ -62,4 +74,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("bin_start") - F.col("start")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return d.select(F.col("id").alias(id_col), *(F.col("row").alias(c) for c in rows), "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.shared import own_columns, stored
+from sievemill.llm.shared import dropped, joined, own_columns, stored
 from sievemill.llm.stats import keyed
 from sievemill.llm.text import FIRST, SECOND, SEPARATOR, Texts, Words, _mix, slices, texts
 
@@ -273,17 +273,24 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars: links move to ever smaller neighbours until nothing changes."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
+
+    def nearest(pairs: DataFrame, n: int) -> DataFrame:
+        """pairs (a, b) with the smallest b of each a; an a may be in a third of them."""
+        return joined(pairs, pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")), "a", "degree", n)
+
     while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).where("a <> b").distinct()
-        edges = stored(small, "links")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if now == state:
             return edges.select(F.col("a").alias("key"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
         state = now
+        both = edges.union(edges.select("b", "a"))
+        large = nearest(both, 2 * now.n).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        large = stored(large, "links")
+        small = nearest(large, large.count())
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        before, edges = edges, stored(small, "links")
+        dropped(before)
+        dropped(large)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -308,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(signed.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.any_value("sig").alias("sig")), "classes")
     bands = classes.where("sig is not null").select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = bands.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = joined(bands, stored(shared, "bands"), "bucket", "size", BANDS * classes.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("bucket", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -319,7 +326,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links if decided is None else links.union(decided)
     group = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     known = classes.drop("sig").join(links.groupBy("key").agg(F.sum("n").alias("n_links")), "key", "left").join(group, "key", "left")
-    known = known.withColumn("root", F.coalesce("root", "key"))
-    least = known.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    known = known.join(least, "root").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "group_id")
-    return signed.select("id", "key").join(known, "key").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links", "group_id")
+    known = stored(known.withColumn("root", F.coalesce("root", "key")), "known")
+    least = known.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    known = joined(known, least, "root", "group_size", classes.count())
+    known = stored(known.select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "group_id"), "known")
+    found = joined(signed.select("id", "key"), known, "key", "n_copies", signed.count())
+    return found.select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links", "group_id")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UNPACKED = 2
 #: A key with more than one in so many rows is joined without a shuffle.
 HOT = 1000
+#: Paths in the shared folder that this process has given out, each with its application.
+_made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -26,14 +28,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.gettempdir() + "/sievemill-shared"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark.sparkContext.applicationId
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
+    """df written to the shared folder and read again: its lineage ends there. It stays until dropped or released."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what stored() wrote for df; nothing may read it any more."""
+    _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.pop(path, None)
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all that this process's operators wrote to the shared folder for the session's application, but for the tables to keep.
+
+    To be called once results are written: they are read from there until then."""
+    left = {df.stored_at for df in keep}
+    for path in [p for p, app in _made.items() if app == spark.sparkContext.applicationId and p not in left]:
+        _delete(spark, path)
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, copies: str, total: int, how: str = "inner") -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import decontamination, html_extract, near_dedup, pii, quality_rules, shared, token_counts, warc
+from sievemill.llm import decontamination, html_extract, mixing, near_dedup, pii, quality_rules, shared, token_counts, warc
 from sievemill.llm.decontamination import leaks
 from sievemill.llm.mixing import mix
 from sievemill.llm.near_dedup import near_duplicates
@@ -97,6 +97,15 @@ def test_mix(spark, rows):
     assert mix(frame(spark, [])).count() == 0
 
 
+def test_mix_splits_equal_rows(spark, monkeypatch):
+    """A source of which most rows are equal is mixed as when its hash ranges aren't split."""
+    data = frame(spark, [(1, "a b c", "x")] * 300 + [(i, "d " * (i % 9), "x" if i % 3 else "y") for i in range(2, 150)] + [(None, None, None)] * 40 + [(None, f"e {i}", None) for i in range(30)])
+    whole = Counter(map(tuple, mix(data).collect()))
+    monkeypatch.setattr(mixing, "RANGE", 8)
+    monkeypatch.setattr(mixing, "EXCESS", 2)
+    assert Counter(map(tuple, mix(data.repartition(6)).collect())) == whole and sum(whole.values()) == 518
+
+
 def test_quality_rules(spark, rows):
     junk = [(70, " | ".join(f"Menu{i}" for i in range(40)), "a"), (71, "#### " * 30, "a"), (72, "The cat sat on a mat, and it was warm.\nThen it went home.\nThen it went home.\nNobody saw it for a long while.", "a")]
     got = quality_rules.quality_rules(frame(spark, rows + junk)).collect()
@@ -280,6 +289,36 @@ def test_tiles_count_each_pair_once(spark, monkeypatch):
     assert whole == cut and all(n == 39 and g == 0 for n, g in whole.values())
 
 
+def test_links_are_found_at_every_similarity(spark):
+    """Recall and precision of links by bin of exact similarity, for single changed words and for changed ends."""
+    rng = random.Random(77)
+    data, exact = [], {}
+    for p in range(400):
+        w = words(rng, 100, 10**6)
+        v = list(w)
+        if p % 2:
+            v[: rng.randrange(8, 60)] = words(rng, 5, 10**6)
+        else:
+            for q in rng.sample(range(100), rng.randrange(1, 24)):
+                v[q] = f"n{rng.randrange(10**6)}"
+        data += [(2 * p, " ".join(w), "a"), (2 * p + 1, " ".join(v), "a")]
+        exact[2 * p] = _jaccard(*(Counter(tuple(x[i : i + 3]) for i in range(len(x) - 2)) for x in (w, v)))
+    got = {r.doc_id: r.n_links for r in near_duplicates(frame(spark, data)).collect()}
+    for low in (0.0, 0.3, 0.4, 0.5, 0.55, 0.6, 0.7, 0.8):
+        of = [i for i, s in exact.items() if low <= s < {0.0: 0.3, 0.3: 0.4, 0.4: 0.5, 0.5: 0.55, 0.55: 0.6}.get(low, low + 0.1)]
+        assert len(of) > 5
+        assert sum(got[i] for i in of) >= len(of) - max(1, 0.01 * len(of)) if low >= 0.5 else not any(got[i] for i in of), low
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    """A member that most links name is joined without a shuffle, and tables that are no longer read are deleted."""
+    monkeypatch.setattr(shared, "HOT", 3)
+    before = set(shared._made)
+    links = spark.createDataFrame([(5, i) for i in range(6, 60)] + [(59, 70), (70, 71), (1, 71), (90, 91)], "a long, b long")
+    assert {r.key: r.root for r in near_dedup.components(links).collect()} == {**{i: 1 for i in (1, 5, *range(6, 60), 70, 71)}, 90: 90, 91: 90}
+    assert len(set(shared._made) - before) == 1
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 60)], "a long, b long")
     got = {r.key: r.root for r in near_dedup.components(links).collect()}
