@@ -1,7 +1,10 @@
 """From raw documents to a mixed training corpus, in five stages.
 
 Each stage takes what its predecessor kept, as it was written and read again, and all but the last return
-the columns of documents. What a stage decides holds for the row, not for its id, which may be null or repeated. SQL can't express the stages' models and hashes; the tests hold each against brute force."""
+the columns of documents. What a stage decides holds for the row, not for its id, which may be null or repeated: a null id is
+judged like any other, and of rows that share an id each is judged by its own text. A null text counts as empty. Texts are read whole,
+however long. Columns beside those of documents pass through every stage. Empty tables give empty ones. SQL can't
+express the stages' models and hashes; the tests hold each against brute force."""
 
 from __future__ import annotations
 
@@ -15,13 +18,13 @@ from sievemill.llm.mixing import mix
 from sievemill.llm.near_dedup import near_duplicates
 from sievemill.llm.pii import redact
 from sievemill.llm.quality_classifier import quality_scores
-from sievemill.llm.shared import stored
+from sievemill.llm.shared import joined, release, stored
 
 ORACLE_SQL = None
 
 
 #: Name of the rows' own key within a stage.
-ROW = "_row"
+ROW = "__row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -32,41 +35,49 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The keyed docs but those rows, without the key. The rows to drop, which are fewer, are written first, so
     that the join knows their size and sends them to all tasks only if they are few."""
-    gone = stored(rows.select(F.col(ROW).alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs[ROW] == gone["gone"], "left_anti").drop(ROW)
+    gone = stored(rows.select(F.col(ROW).alias("__gone")).distinct(), "gone")
+    return docs.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier scores below 0.5."""
+    """Drop what the classifier scores below 0.5. Equal texts have equal scores, so they go or stay together; without labels
+    all scores are 0.5 and all stay."""
     docs = _keyed(docs)
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
     return _without(docs, scores.where("predicted = 0"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents keep one row: that with the smallest id, of equal ids the first; a null id is last."""
+    """Of each group of similar documents keep one row: that with the smallest id, of equal ids the first; a null id is last.
+
+    Rows that repeat each other are a group, so are all texts without words."""
     docs = _keyed(docs)
-    groups = near_duplicates(docs, ROW).join(docs.select(F.col(ROW).alias("r"), "doc_id"), F.col(ROW) == F.col("r"))
+    groups = near_duplicates(docs, ROW).join(docs.select(F.col(ROW).alias("r"), F.col("doc_id")), F.col(ROW) == F.col("r"))
     groups = stored(groups.select(ROW, "group_id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW).alias("rank")), "groups")
-    best = groups.groupBy(F.col("group_id").alias("g")).agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _without(docs, groups.join(best, F.col("group_id") == F.col("g")).where(f"{ROW} <> best.{ROW}"))
+    best = groups.groupBy("group_id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _without(docs, joined(groups, best, "group_id", "n", groups.count()).where(f"{ROW} <> best.{ROW}"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage, also one whose item has no id."""
+    """Drop documents that hold a benchmark passage, also one whose item has no id. An item without words is in no document."""
     docs = _keyed(docs)
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("_item", F.monotonically_increasing_id())
-    return _without(docs, leaks(docs, items, id_col=ROW, item_col="_item"))
+    return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; n_chars follows the text."""
+    """Replace personal data by its kind; n_chars follows the text. Null texts stay null, with a null n_chars."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document; documents of which it takes none go."""
-    return mix(docs).where("taken > 0")
+    """The documents, with their texts, of which the mix takes words, and how many (taken; more than size where the mix repeats).
+
+    Documents of which it takes none go, among them all without words. Rows with a null source are a source of their own. size,
+    source_size, target and taken replace columns of these names."""
+    docs = _keyed(docs)
+    found = ("size", "source_size", "target", "taken")
+    taken = mix(docs, row_col=ROW).where("taken > 0").select(F.col(ROW).alias("__taken_row"), *found)
+    return docs.drop(*found).join(taken, F.col(ROW) == F.col("__taken_row")).drop(ROW, "__taken_row")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -79,8 +90,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again.
+
+    What a stage wrote on its way is deleted once its result is written; what the last wrote stays until release()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
