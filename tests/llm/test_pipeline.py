@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sievemill.llm import shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,7 +66,7 @@ def test_run(spark, folder):
     for r in out:
         assert fate.get(r.doc_id, "kept") == "kept" and 0 < r.taken <= 3 * r.size
         if r.doc_id is not None:
-            assert r.size == size(docs[r.doc_id])
+            assert r.size == size(docs[r.doc_id]) and (r.text == docs[r.doc_id] or r.doc_id == 31) and r.lang == "en"
             by_source["abc"[r.doc_id % 3]] = r.target
             taken["abc"[r.doc_id % 3]] += r.taken
     assert {s: round(t) for s, t in by_source.items()} == dict(taken)
@@ -84,6 +85,39 @@ def test_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows_and_clashing_columns(spark, folder, tmp_path):
+    """Null and empty values, a very long text and columns with the stages' own names change nothing else."""
+    d, docs, _ = folder
+    rng = random.Random(17)
+    long = prose(rng, 120000)
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    odd = [(None, None, None, None, None), (1000, None, "en", "a", 0), (1001, "", None, None, None), (1002, " \n\t ", "en", "b", 4), (1003, long, "en", "c", len(long)), (1004, long + " more", "en", "c", None), (1003, long, "en", "c", len(long))]
+    now = now.unionByName(spark.createDataFrame(odd, now.schema))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    results = []
+    for k, extra in enumerate(({}, dict.fromkeys(("size", "taken", "key", "r", "gone", "_row", "rank", "n", "id", "bin", "score", "spans", "sig"), 7))):
+        sf = f"{tmp_path}/{k}"
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{d}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+        now.withColumns({c: F.lit(v) for c, v in extra.items()}).coalesce(3).write.parquet(f"{sf}/documents.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert set(extra) <= set(out.columns)
+        results.append(Counter((r.doc_id, r.text, r["size"], r.taken) for r in out.collect()))
+    assert results[0] == results[1]
+    assert [t for i, t, _, _ in results[0] if i == 1003] == [long] and not {1000, 1001, 1002, 1004} & {i for i, *_ in results[0]}
+
+
+def test_intermediate_tables_are_deleted(spark, folder):
+    d, _, _ = folder
+    shared.release(spark)
+    out = corpus_pipeline.run(spark, d)
+    assert not {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in shared._made} - {"personal-data", "rows", "sizes"}
+    n = out.count()
+    shared.release(spark)
+    assert n and not shared._made
+
+
 def test_rows_without_an_id_of_their_own(spark, folder, tmp_path):
     """Null and repeated ids: a decision holds for its row, for no other and for no fewer."""
     d, docs, _ = folder
