@@ -1,7 +1,7 @@
 """The main text of web pages: a tree-structured graphical model over the block elements of a page.
 
 Each block element is content or not. Its own features (tag, words of class, id and role, length, share of
-links, punctuation, place) score either label; parent-child potentials connect it to the element around it.
+links, punctuation, place, what the headings before it and the elements around it are called) score either label; parent-child potentials connect it to the element around it.
 Sum-product messages, first up then down the tree, give the exact marginal of every element; a block
 of text is kept if its element's marginal says content. The weights are trained by exact gradients on labelled
 pages that `labelled_pages` makes by rule from a seed. All pages of a batch pass their messages together."""
@@ -9,9 +9,9 @@ pages that `labelled_pages` makes by rule from a seed. All pages of a batch pass
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html import unescape
 
 import numpy as np
@@ -30,16 +30,17 @@ _BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl
 _VOID_BREAK = {"hr"}
 #: A new element of the first kind ends an open one of the others.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tbody": {"thead", "tbody", "tr", "td", "th", "p"}}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "main", "nav", "aside", "footer", "header", "form", "blockquote"}
 _TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "table", "td", "blockquote", "pre", "figure", "button", "address", "dialog", "body")
 _SAME = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "dl": "ul", "menu": "nav", "dt": "li", "dd": "li", "th": "td", "tr": "table", "tbody": "table", "thead": "table", "figcaption": "figure", "label": "button", "fieldset": "form", "legend": "form", "search": "form", "html": "body", "hgroup": "section", "details": "section", "summary": "p", "center": "div", "caption": "p", "tfoot": "table", "select": "button", "xmp": "pre", "plaintext": "pre"}
 _HINTS = (
-    ("ad", "ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner doubleclick adsense commercial"),
+    ("ad", "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner doubleclick adsense commercial"),
     ("menu", "nav navbar navigation menu menus breadcrumb breadcrumbs topbar toolbar pagination pager toc tabs skip links"),
     ("head", "header masthead top head branding logo sitehead"),
     ("foot", "footer foot copyright contentinfo colophon legal bottom"),
     ("side", "sidebar side aside widget widgets related recommended recommendations complementary rail trending popular more tags"),
-    ("comment", "comment comments reply replies respond discussion disqus thread reader readers responses feedback"),
+    ("comment", "comment comments reply replies respond discussion disqus thread reader readers responses feedback kommentar kommentare commentaire commentaires comentario comentarios"),
     ("notice", "cookie cookies consent notice notices alert gdpr popup modal overlay dialog warning paywall subscribe subscription newsletter signup"),
     ("form", "form search login signin register input field survey"),
     ("share", "share sharing social follow buttons toolbox byline meta"),
@@ -49,6 +50,7 @@ _WORD_HINT = {w: i for i, (_, ws) in enumerate(_HINTS) for w in ws.split()}
 _ATTR = re.compile(r"(?:\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_XMP = re.compile("</xmp", re.I)
 _LABEL = re.compile(r"\by=([01])")
 
 
@@ -61,6 +63,7 @@ class Page:
     depth: list[int] = field(default_factory=list)
     attrs: list[str] = field(default_factory=list)
     within: list[int] = field(default_factory=list)
+    heading: list[bool] = field(default_factory=list)
     #: element, text with white space settled, characters inside links
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
@@ -74,12 +77,22 @@ def parse(html: str) -> Page:
     """Read a page as browsers do in the main: what is not closed is closed by what follows."""
     page = Page()
     stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}  # how many of each tag the stack holds, so that no tag searches a deep stack in vain
     pending: list[str] = []
     links = link_chars = 0
 
+    def cut(k: int) -> None:
+        for t, _ in stack[k:]:
+            open_[t] -= 1
+        del stack[k:]
+
+    def put(tag: str, element: int) -> None:
+        stack.append((tag, element))
+        open_[tag] = open_.get(tag, 0) + 1
+
     def end_head() -> None:
         if len(stack) > 1 and stack[1][0] == "head":
-            del stack[1:]
+            cut(1)
 
     def flush() -> None:
         nonlocal link_chars
@@ -99,10 +112,11 @@ def parse(html: str) -> Page:
         kind = _TAG_ID[tag]
         page.within.append((page.within[up] if up >= 0 else 0) | (kind in (ARTICLE, MAIN)))
         page.tag.append(kind)
+        page.heading.append(tag in _HEADINGS)
         page.parent.append(up)
         page.depth.append(page.depth[up] + 1 if up >= 0 else 0)
         page.attrs.append(attrs)
-        stack.append((tag, len(page.tag) - 1))
+        put(tag, len(page.tag) - 1)
 
     add("body", "")
     at, n = 0, len(html)
@@ -123,7 +137,7 @@ def parse(html: str) -> Page:
         if not close and tag not in _IN_HEAD:
             end_head()
         if tag in _RAW and not close:
-            foreign = any(t in ("svg", "math") for t, _ in stack)
+            foreign = open_.get("svg") or open_.get("math")
             if not (foreign and attrs.endswith("/")):
                 end = _RAW[tag].search(html, at)
                 at = end.end()
@@ -135,19 +149,19 @@ def parse(html: str) -> Page:
             pending.append(" ")
             if not close:
                 if not (attrs.endswith("/") and tag in ("svg", "math")):
-                    stack.append((tag, stack[-1][1]))
+                    put(tag, stack[-1][1])
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[k][0] == tag:
                     if stack[-1][1] != stack[k][1]:
                         flush()
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in ("td", "th"):
                     break
         elif tag in ("option", "optgroup"):
             pending.append(" ")
-        elif tag == "head" and not close and (len(stack) > 1 or len(page.tag) > 1 or page.blocks or "".join(pending).strip()):
+        elif tag == "head" and not close and (len(stack) > 1 or len(page.tag) > 1 or page.blocks or any(map(str.strip, pending))):
             pass  # browsers ignore a head once the body has begun
         elif tag == "a":
             links = 0 if close else 1
@@ -158,24 +172,27 @@ def parse(html: str) -> Page:
             flush()
         elif tag in _BLOCK and tag != "html":
             flush()
+            if tag in _HEADINGS and stack[-1][0] in _HEADINGS:  # any heading's end, or a new one, ends a heading
+                cut(len(stack) - 1)
+                if close:
+                    continue
             if close:
-                if any(t == tag for t, _ in stack[1:]):
-                    while stack.pop()[0] != tag:
-                        pass
-                elif tag == "body":
-                    pass
+                if open_.get(tag, 0) > (tag == "body"):
+                    k = len(stack) - 1
+                    while stack[k][0] != tag:
+                        k -= 1
+                    cut(k)
                 continue
-            if any(t == "select" for t, _ in stack):  # an unclosed one holds no blocks
-                del stack[next(k for k, (t, _) in enumerate(stack) if t == "select") :]
+            if open_.get("select"):  # an unclosed one holds no blocks
+                cut(next(k for k, (t, _) in enumerate(stack) if t == "select"))
             if tag == "body":
-                while len(stack) > 1:
-                    stack.pop()
+                cut(1)
                 page.attrs[0] = attrs
                 continue
             ends = _CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_.get(t) for t in ends) else ():
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    cut(k)
                     if tag not in ("tr", "tbody", "dt", "dd", "li", "td", "th"):
                         break
                 elif stack[k][0] in _SCOPE and stack[k][0] not in ends:
@@ -183,8 +200,8 @@ def parse(html: str) -> Page:
             add(tag, attrs)
             if tag in ("xmp", "plaintext"):
                 # shown as it is, tags and all
-                end = html.lower().find("</xmp", at) if tag == "xmp" else -1
-                end = n if end < 0 else end
+                m = _XMP.search(html, at) if tag == "xmp" else None
+                end = m.start() if m else n
                 pending.append(html[at:end].replace("&", "&amp;"))
                 at = end
     flush()
@@ -207,8 +224,12 @@ def hints(attrs: str) -> set[int]:
 
 
 _STOPS = re.compile(r"[.,;:!?]")
+_RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
 N_TAGS, N_HINTS = len(_TAGS), len(_HINTS) + 2
-N_FEATURES = 1 + 2 * N_TAGS + 2 * N_HINTS + 8
+#: Where an element lies: on a page without an article or main element; within one; around one; before or after the first.
+ZONES = 5
+_FRAMES = ("nav", "header", "footer", "aside", "form", "dialog")
+N_FEATURES = 1 + 2 * N_TAGS + 2 * N_HINTS + 2 * N_HINTS + N_HINTS + len(_FRAMES) + 2 * ZONES + 17
 N_EDGES = 3
 
 
@@ -221,14 +242,31 @@ class Trees:
     depth: np.ndarray
     edge: np.ndarray
 
+    @cached_property
     def levels(self) -> list[np.ndarray]:
         order = np.argsort(self.depth, kind="stable")
         return np.split(order, np.flatnonzero(np.diff(self.depth[order])) + 1)
 
 
+def _announced(page: Page) -> dict[int, set[int]]:
+    """What a short heading says of the elements after it, up to the next heading beside it: hints by element."""
+    said = {e: {_WORD_HINT[w.lower()] for w in _PIECES.findall(t) if w.lower() in _WORD_HINT} for e, t, _ in page.blocks if page.heading[e] and len(t) < 40 and t.count(" ") < 3}
+    if not any(said.values()):
+        return {}
+    found: dict[int, set[int]] = {}
+    now: dict[int, set[int]] = {}
+    for e, up in enumerate(page.parent):
+        if page.heading[e]:
+            now[up] = said.get(e, set())
+        if now.get(up):
+            found[e] = now[up]
+    return found
+
+
 def trees(pages: list[Page]) -> Trees:
     sizes = np.array([len(p.tag) for p in pages])
     base = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(pages)), sizes)
     tag = np.concatenate([p.tag for p in pages]).astype(int)
     parent = np.concatenate([np.array(p.parent) + np.where(np.array(p.parent) >= 0, b, 0) for p, b in zip(pages, base)])
     depth, within = np.concatenate([p.depth for p in pages]), np.concatenate([p.within for p in pages]).astype(bool)
@@ -237,6 +275,7 @@ def trees(pages: list[Page]) -> Trees:
     x[:, 0] = 1
     known = np.flatnonzero(tag >= 0)
     x[known, 1 + tag[known] + N_TAGS * within[known]] = 1
+    h = 1 + 2 * N_TAGS
     cache: dict[str, set[int]] = {}
     row = 0
     for p in pages:
@@ -246,31 +285,79 @@ def trees(pages: list[Page]) -> Trees:
                 if found is None:
                     found = cache[a] = hints(a)
                 for i in found:
-                    x[row, 1 + 2 * N_TAGS + i + N_HINTS * within[row]] = 1
+                    x[row, h + i + N_HINTS * within[row]] = 1
             row += 1
-    own, link, stops = np.zeros(n), np.zeros(n), np.zeros(n)
-    at = [b + e for p, b in zip(pages, base.tolist()) for e, _, _ in p.blocks]
-    if at:
-        np.add.at(own, at, [len(t) for p in pages for _, t, _ in p.blocks])
+    hinted = x[:, h : h + 2 * N_HINTS].any(1)
+    a = h + 2 * N_HINTS
+    for p, b in zip(pages, base.tolist()):
+        for e, found in _announced(p).items():
+            x[b + e, [a + i + N_HINTS * within[b + e] for i in found]] = 1
+    own, link, stops, blocks, prose, rights = (np.zeros(n) for _ in range(6))
+    at = np.array([b + e for p, b in zip(pages, base.tolist()) for e, _, _ in p.blocks], np.int64)
+    total = np.zeros(len(pages))
+    if len(at):
+        size = np.array([len(t) for p in pages for _, t, _ in p.blocks], float)
+        np.add.at(own, at, size)
         np.add.at(link, at, [k for p in pages for _, _, k in p.blocks])
         np.add.at(stops, at, [len(_STOPS.findall(t)) for p in pages for _, t, _ in p.blocks])
+        np.add.at(blocks, at, 1)
+        np.add.at(rights, at, [len(t) < 200 and _RIGHTS.search(t) is not None for p in pages for _, t, _ in p.blocks])
+        np.add.at(total, of[at], size)
+        done = np.cumsum(size) - size
+        first = np.full(n, np.inf)
+        np.minimum.at(first, at, done)
+        first -= (np.cumsum(total) - total)[of]
+    else:
+        first = np.full(n, np.inf)
+    prose[tag == _TAG_ID["p"]] = own[tag == _TAG_ID["p"]]
     has = own > 0
     share = link / np.maximum(own, 1)
-    whole, whole_link = own.copy(), link.copy()
+    whole, whole_link, whole_blocks, whole_prose = own.copy(), link.copy(), blocks.copy(), prose.copy()
+    holds = np.isin(tag, (ARTICLE, MAIN))
     levels = np.split(o := np.argsort(depth, kind="stable"), np.flatnonzero(np.diff(depth[o])) + 1)
+    around = holds.copy()
     for level in levels[:0:-1]:
-        np.add.at(whole, parent[level], whole[level])
-        np.add.at(whole_link, parent[level], whole_link[level])
-    c = 1 + 2 * N_TAGS + 2 * N_HINTS
+        up = parent[level]
+        for v in (whole, whole_link, whole_blocks, whole_prose):
+            np.add.at(v, up, v[level])
+        np.minimum.at(first, up, first[level])
+        np.logical_or.at(around, up, around[level])
+    place = np.arange(n)
+    opened = np.full(len(pages), n)
+    np.minimum.at(opened, of[holds], place[holds])
+    zone = np.where(within, 1, np.where(opened[of] == n, 0, np.where(around, 2, np.where(place < opened[of], 3, 4))))
+    # names and frames around an element; a name of the text itself, or its header, is none
+    frame = np.column_stack([(tag == _TAG_ID[t]) & ~within for t in _FRAMES])
+    around_it = np.hstack([x[:, h : h + N_HINTS] + x[:, h + N_HINTS : h + 2 * N_HINTS], frame]) > 0
+    around_it[:, [i for i, (name, _) in enumerate(_HINTS) if name in ("main", "head")]] = False
+    for level in levels[1:]:
+        around_it[level] |= around_it[parent[level]]
+    z = a + 2 * N_HINTS
+    x[:, z : z + around_it.shape[1]] = around_it
+    z += around_it.shape[1]
+    x[place, z + zone] = 1
+    x[place[has], z + ZONES + zone[has]] = 1
+    c = z + 2 * ZONES
+    page_total = np.maximum(total[of], 1)
     x[:, c] = has & (own < 25)
     x[:, c + 1] = has & (own >= 25) & (own < 100)
     x[:, c + 2] = own >= 100
-    x[:, c + 3] = has * share
-    x[:, c + 4] = whole_link / np.maximum(whole, 1)
+    x[:, c + 3] = has * share * ~within
+    x[:, c + 4] = whole_link / np.maximum(whole, 1) * ~within
     x[:, c + 5] = np.minimum(np.log1p(whole) / 10, 1)
     x[:, c + 6] = np.minimum(stops / np.maximum(own, 1) * 20, 1)
     x[:, c + 7] = has & (stops == 0)
-    edge = np.where(np.isin(tag, [_TAG_ID[t] for t in ("nav", "header", "footer", "aside", "form", "dialog")]), 1, np.where(x[:, 1 + 2 * N_TAGS : c].any(1), 2, 0))
+    x[:, c + 8] = whole / page_total * (zone == 0)
+    x[:, c + 9] = np.where(np.isfinite(first), first / page_total, 1) * (zone == 0)
+    x[:, c + 10] = whole_prose / np.maximum(whole, 1)
+    x[:, c + 11] = np.minimum(np.log1p(whole_blocks) / 5, 1)
+    x[:, c + 12] = np.minimum(whole / np.maximum(whole_blocks, 1) / 200, 1)
+    x[:, c + 13] = has * share * within
+    x[:, c + 14] = whole_link / np.maximum(whole, 1) * within
+    x[:, c + 15] = whole == 0
+    x[:, c + 16] = (rights > 0) & ~within
+    framing = np.isin(tag, [_TAG_ID[t] for t in _FRAMES])
+    edge = np.where(framing, 1, np.where(hinted, 2, 0))
     return Trees(x, parent, depth, edge)
 
 
@@ -281,8 +368,13 @@ class Model:
 
     def marginals(self, t: Trees) -> tuple[np.ndarray, np.ndarray]:
         """Log marginals of elements, and of (parent, child) labels of each element that has a parent."""
+        belief, both, z = self.messages(t)
+        return belief - z[:, None], both - z[:, None, None]
+
+    def messages(self, t: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same before normalization, and the log normalizer of each element's page."""
         u = t.x @ self.unary
-        levels = t.levels()
+        levels = t.levels
         up, message = u.copy(), np.zeros_like(u)
         for level in levels[:0:-1]:
             m = np.logaddexp(up[level, None, 0] + self.pair[t.edge[level], :, 0], up[level, None, 1] + self.pair[t.edge[level], :, 1])
@@ -295,18 +387,20 @@ class Model:
             joint = above[:, :, None] + self.pair[t.edge[level]] + up[level][:, None, :]
             belief[level] = np.logaddexp(joint[:, 0], joint[:, 1])
             both[level] = joint
-        z = np.logaddexp(belief[:, 0], belief[:, 1])
-        return belief - z[:, None], both - z[:, None, None]
+        return belief, both, np.logaddexp(belief[:, 0], belief[:, 1])
 
 
-def labelled_pages(seed: int = 21, n: int = 600) -> list[str]:
+def labelled_pages(seed: int = 21, n: int = 800) -> list[str]:
     """The labelled table: pages whose elements carry y=1 (content) or y=0; what carries none is as its parent."""
     rng = np.random.Generator(np.random.PCG64(seed))
     pick = lambda xs: xs[rng.integers(len(xs))]
-    word = lambda: "".join(pick("the on er in ti re es or ea nd ung sch ein que oi eau ción os ra".split()) for _ in range(rng.integers(1, 4)))
+    syllables = "the on er in ti re es or ea nd ung sch ein que oi eau ción os ra".split()
+    stock = ["".join(syllables[i] for i in rng.integers(0, len(syllables), rng.integers(1, 4))) for _ in range(3000)]
+    word = lambda: stock[rng.integers(len(stock))]
 
     def words(k: int) -> str:
-        return " ".join(word() + ("" if rng.random() < 0.85 else pick(".,.,;:")) for _ in range(k))
+        marks = ".,.,;:"
+        return " ".join(stock[i] + (marks[int(u * 40)] if u < 0.15 else "") for i, u in zip(rng.integers(0, len(stock), k).tolist(), rng.random(k).tolist()))
 
     def prose(lo: int = 1, hi: int = 90) -> str:
         inner = words(int(rng.integers(lo, hi)))
@@ -327,7 +421,7 @@ def labelled_pages(seed: int = 21, n: int = 600) -> list[str]:
         if kind == 0:
             return pick([f"<nav y=0><ul>{links(k)}</ul></nav>", f"<div y=0 {attr('menu', 'nav', 'navbar', 'breadcrumbs', 'main-menu')}><ul>{links(k)}</ul></div>", f"<ul y=0 class='menu'>{links(k)}</ul>", f'<div y=0 role="navigation">{links(k)}</div>'])
         if kind == 1:
-            inner = pick([f"<h1>{words(3)}</h1><p>{words(6)}</p>", f"<a href='/'>{words(2)}</a>", f"<p>{words(9)}</p>", f"<div class='logo'>{words(2)}</div><ul>{links(3)}</ul>", f"<h1>{words(2)}</h1>"])
+            inner = pick([f"<h1>{words(3)}</h1><p>{words(6)}</p>", f"<h1>{words(2)}</h1><p>{words(3)}</p>", f"<h1>{words(2)}</h1><p>{prose(2, 12)}</p>", f"<a href='/'>{words(2)}</a>", f"<p>{words(9)}</p>", f"<div class='logo'>{words(2)}</div><ul>{links(3)}</ul>", f"<h1>{words(2)}</h1>"])
             return pick([f"<header y=0>{inner}</header>", f"<div y=0 {attr('header', 'site-header', 'masthead')}>{inner}</div>", f"<header y=0 {attr('top', 'header')}>{inner}</header>"])
         if kind == 2:
             inner = pick([f"&copy; {words(2)} &middot; {prose(3, 14)}", f"<p>{words(8)}</p><ul>{links(3)}</ul>", f"<p>Copyright {words(3)}</p>", prose(4, 40)])
@@ -336,7 +430,7 @@ def labelled_pages(seed: int = 21, n: int = 600) -> list[str]:
             inner = pick([f"<h2>{words(2)}</h2><ul>{links(k)}</ul>", f"<p>{prose(3, 30)}</p>", f"<h3>{words(2)}</h3><p>{prose(5, 70)}</p><p>{prose(5, 70)}</p>", prose(4, 30)])
             return pick([f"<aside y=0>{inner}</aside>", f"<div y=0 {attr('sidebar', 'widget', 'related', 'side-bar', 'right-rail')}>{inner}</div>", f"<section y=0 class='related'>{inner}</section>"])
         if kind == 4:
-            inner = pick([prose(3, 90), prose(2, 20), f"<p>{prose(3, 60)}</p>", f"<p>{words(5)}</p><a href='#'>{words(2)}</a>", f"{words(8)}<br>{words(4)}"])
+            inner = pick([prose(3, 90), prose(2, 20), f"<p>{prose(3, 60)}</p>", f"<p>{prose(2, 12)}</p>", f"<p>{prose(2, 30)}</p><p>{prose(2, 30)}</p>", f"<p>{words(5)}</p><a href='#'>{words(2)}</a>", f"{words(8)}<br>{words(4)}"])
             return f"<div y=0 {pick(['class', 'id'])}=\"{pick(['ad', 'ads', 'advert', 'sponsored', 'promo', 'banner', 'ad-box', 'advertisement', 'ad_slot'])}\">{inner}</div>"
         if kind == 5:
             inner = "".join(f"<{t} {attr('comment', 'reply')}><p>{prose(3, 45)}</p></{t}>" for t in [pick(["div", "li", "article"])] * k)
@@ -348,47 +442,111 @@ def labelled_pages(seed: int = 21, n: int = 600) -> list[str]:
             return f"<form y=0 action='/s'><label>{words(2)}</label><input name=q><p>{words(int(rng.integers(1, 12)))}</p><select><option>{words(2)}</option></select><button>{words(1)}</button></form>"
         return pick([f"<div y=0 class=\"{pick(['share', 'social', 'social-share'])}\">{''.join(f'<a href=#>{word()}</a> ' for _ in range(k))}</div>", f"<p y=0><a href='/m'>{words(3)}</a></p>", f"<div y=0 style='display:none'>{prose(2, 20)}</div>"])
 
-    def paragraph() -> str:
+    def paragraph(inside: bool = True) -> str:
         r = rng.random()
-        if r < 0.66:
+        if r < 0.62:
             return f"<p>{prose(1, int(pick((4, 30, 90))))}" + pick(["</p>", "</p>", "</p>", "", "<br>"])
+        if r < 0.66 and inside:
+            return f"<p><a href='/{word()}'>{words(int(rng.integers(1, 9)))}</a></p>"
         if r < 0.74:
             return f"<{pick(['h2', 'h3'])}>{words(int(rng.integers(1, 7)))}</{pick(['h2', 'h3'])}>"
         if r < 0.80:
             return f"<ul>{''.join(f'<li>{prose(1, 20)}</li>' for _ in range(rng.integers(1, 6)))}</ul>"
+        if r < 0.82:
+            return f"<ol>{''.join(f'<li><p>{prose(1, 20)}</p></li>' for _ in range(rng.integers(1, 6)))}</ol>"
         if r < 0.85:
-            return f"<blockquote>{prose()}</blockquote>"
+            return f"<blockquote>{pick(['', '<p>'])}{prose()}</blockquote>"
         if r < 0.89:
             return f"<table><tr><th>{words(1)}</th><td>{words(2)}</td></tr><tr><td>{words(1)}<td>{words(3)}</table>"
         if r < 0.93:
             return f"<pre>{words(12)}</pre>"
         if r < 0.97:
-            return f"<div>{prose()}</div>"
+            return f"<div {attr('text', 'paragraph', 'note', 'box', 'lead') if rng.random() < 0.4 else ''}>{prose()}</div>"
         return f"<figure><img src=x><figcaption>{words(6)}</figcaption></figure>"
 
+    def comments() -> str:
+        """Comments that no name gives away but a heading, a place after the text and many short pieces."""
+        one = pick([lambda: f"<li><p>{prose(3, 40)}</p></li>", lambda: f"<li>{word()}: {prose(2, 30)}</li>", lambda: f"<li><b>{word()}</b><p>{prose(2, 30)}</p></li>"])
+        listed = "".join(one() for _ in range(rng.integers(1, 7)))
+        heading = pick(["Comments", "2 comments", "Reader comments", "Kommentare", "Commentaires", "Comentarios", "Discussion", "Responses", "Replies"])
+        inner = f"<{pick(['h2', 'h3'])} y=0>{heading}</h3><{pick(['ul', 'ol'])} y=0>{listed}</ul>"
+        return pick([inner, f"<div y=0>{inner}</div>", f"<section y=0>{inner}</section>", f"<div y=0>{heading}</div><ul y=0>{listed}</ul>" if rng.random() < 0.3 else inner])
+
+    def more() -> str:
+        """Links to other pages under a heading."""
+        heading = pick(["Related", "More", "Popular", "Recommended", "Tags", "Trending", "Share", "Follow"])
+        return f"<h3 y=0>{heading}</h3><ul y=0>{links(int(rng.integers(2, 7)))}</ul>"
+
+    def side() -> str:
+        return pick([f"<ul>{links(int(rng.integers(2, 9)))}</ul>", f"<h3>{words(2)}</h3><ul>{links(4)}</ul>", "".join(f"<p><a href='/{word()}'>{words(3)}</a></p>" for _ in range(rng.integers(2, 6))), " ".join(f"<a href='/{word()}'>{word()}</a>" for _ in range(rng.integers(2, 9)))])
+
     out = []
     for _ in range(n):
         h1 = f"<h1>{words(int(rng.integers(1, 10)))}</h1>"
-        h1 = pick([h1, h1, f"<header>{h1}</header>", f"<header>{h1}<p>{words(4)}</p></header>"])
+        h1 = pick([h1, h1, f"<header>{h1}</header>", f"<header>{h1}<p>{words(4)}</p></header>", f"<div {attr('article-header', 'entry-header', 'post-header', 'page-header', 'content-header', 'article-title')}>{h1}</div>"])
+        shape = rng.random()
         inner = [paragraph() for _ in range(int(rng.integers(0, 12)))]
-        if rng.random() < 0.4:
+        if rng.random() < 0.55:
             for _ in range(int(rng.integers(1, 3))):
-                inner.insert(int(rng.integers(0, len(inner) + 1)), junk(int(rng.integers(3, 9))))
-        if rng.random() < 0.2:
-            inner = [f"<section>{''.join(inner)}</section>"]
-        open_, close = pick([("<article y=1>", "</article>"), ("<article y=1>", "</article>"), ("<main y=1>", "</main>"), ("<main y=1><article>", "</article></main>"), ("<div y=1 class=\"content\">", "</div>"), ("<div y=1 id=\"article-body\">", "</div>"), ("<div y=1 class=\"post entry\">", "</div>"), ("<div y=1>", "</div>")])
-        before = "".join(junk(int(k)) for k in rng.permutation([0, 1, 4, 6, 7, 8, 3])[: rng.integers(0, 5)])
-        after = "".join(junk(int(k)) for k in rng.permutation([2, 2, 3, 4, 5, 6, 7, 8])[: rng.integers(0, 5)])
-        body = before + open_ + h1 + "".join(inner) + close + after
+                inner.insert(int(rng.integers(0, len(inner) + 1)), junk(int(rng.integers(3, 8))))
         if rng.random() < 0.3:
-            body = f"<div y=1 {attr('page', 'wrapper', 'container')}>{body}</div>"
+            inner = [pick([f"<section>{''.join(inner)}</section>", f"<div>{''.join(inner)}</div>", f"<div {attr('article-body', 'entry-content', 'post-body', 'story-text', 'content-body', 'body-text')}>{''.join(inner)}</div>", f"<div {attr('article-body', 'entry-content')}><div>{''.join(inner)}</div></div>"])]
+        end = pick(["", "", comments(), more(), comments() + more()]) if shape < 0.9 else ""
+        main = h1 + "".join(inner)
+        if shape < 0.12:  # columns whose names say nothing
+            main = h1 + "".join([paragraph() for _ in range(rng.integers(2, 10))])
+            cols = [f'<div y=1 class="{pick(["col-8", "span9", "left", "column", "grid-9", "cell"])}">{main}</div>', f'<div y=0 class="{pick(["col-4", "span3", "right", "column", "grid-3", "cell"])}">{side()}</div>']
+            body = f'<div y=1 class="{pick(["wrap", "outer", "site", "layout"])}"><div y=1 class="{pick(["row", "grid", "inner"])}">{"".join(cols if rng.random() < 0.6 else cols[::-1])}</div>{end}</div>'
+        elif shape < 0.22:  # a table for the layout
+            main = h1 + "".join([paragraph() for _ in range(rng.integers(2, 10))])
+            cells = [f"<td y=0>{side()}</td>", f"<td y=1>{main}</td>", *([f"<td y=0>{side()}</td>"] if rng.random() < 0.4 else [])]
+            top = f"<tr y=0><td colspan=2>{pick([words(2), side()])}</td></tr>" if rng.random() < 0.4 else ""
+            low = f"<tr y=0><td colspan=2>{pick(['&copy; ' + words(3), 'Copyright ' + words(2), side()])}</td></tr>" if rng.random() < 0.4 else ""
+            body = f"<table y=1 {pick(['', 'width=100%', 'border=0'])}>{top}<tr y=1>{''.join(cells)}</tr>{low}</table>{end}"
+        elif shape < 0.28:  # bare text
+            body = pick([main, f"<div y=1>{main}</div>", "".join(paragraph(False) for _ in range(rng.integers(1, 6))), prose()]) + end
+        else:
+            open_, close = pick([("<article y=1>", "</article>"), ("<article y=1>", "</article>"), ("<main y=1>", "</main>"), ("<main y=1><article>", "</article></main>"), ("<div y=1 class=\"content\">", "</div>"), ("<div y=1 id=\"article-body\">", "</div>"), ("<div y=1 class=\"post entry\">", "</div>"), ("<div y=1>", "</div>"), ("<div y=1 id=main><article>", "</article></div>"), ("<article y=1 class=\"post\"><div>", "</div></article>")])
+            before = "".join(junk(int(k)) for k in rng.permutation([0, 1, 4, 6, 7, 8, 3])[: rng.integers(0, 5)])
+            after = "".join(junk(int(k)) for k in rng.permutation([2, 2, 3, 4, 5, 6, 7, 8])[: rng.integers(0, 5)])
+            body = before + open_ + main + (end if rng.random() < 0.15 else "") + close + end + after
+            if rng.random() < 0.35:
+                body = f"<div y=1 {attr('page', 'wrapper', 'container', 'site', 'root')}>{body}</div>"
         out.append(f"<html><head><title>{words(3)}</title></head><body y=1>{body}</body></html>")
     return out
 
 
+def _least(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """Where a convex function with its gradient is least: L-BFGS with halved steps."""
+    value, grad = f(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, scales = grad.copy(), []
+        for s, y in reversed(moves):
+            scales.append(s @ d / (s @ y))
+            d -= scales[-1] * y
+        d *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(np.abs(grad).sum(), 1e-12)
+        for (s, y), a in zip(moves, reversed(scales)):
+            d += (a - y @ d / (s @ y)) * s
+        length = 1.0
+        while True:
+            new_value, new_grad = f(w - length * d)
+            if new_value <= value - 1e-4 * length * (grad @ d) or length < 1e-6:
+                break
+            length /= 2
+        s, y = -length * d, new_grad - grad
+        if s @ y > 1e-12:
+            moves = [*moves[-memory + 1 :], (s, y)]
+        done = value - new_value < 1e-7 * max(1.0, abs(value))
+        w, value, grad = w + s, new_value, new_grad
+        if done:
+            break
+    return w
+
+
 @lru_cache(1)
-def trained(steps: int = 200, rate: float = 0.1, penalty: float = 3e-4) -> Model:
-    """The model; the labelled pages are fixed, so every fit gives the same one."""
+def trained(steps: int = 120, penalty: float = 1e-4) -> Model:
+    """The model of greatest penalized likelihood; the labelled pages are fixed, so every fit gives the same one."""
     pages = [parse(h) for h in labelled_pages()]
     t = trees(pages)
     y = np.ones(len(t.x), int)
@@ -398,24 +556,22 @@ def trained(steps: int = 200, rate: float = 0.1, penalty: float = 3e-4) -> Model
             m = _LABEL.search(a)
             y[row] = int(m[1]) if m else (y[row - k + p.parent[k]] if p.parent[k] >= 0 else 1)
             row += 1
-    model = Model(np.zeros((N_FEATURES, 2)), np.zeros((N_EDGES, 2, 2)))
-    child = np.flatnonzero(t.parent >= 0)
-    seen = np.zeros_like(model.unary)
+    child, root = np.flatnonzero(t.parent >= 0), np.flatnonzero(t.parent < 0)
+    seen = np.zeros((N_FEATURES, 2))
     np.add.at(seen.T, y, t.x)
-    seen_pair = np.zeros_like(model.pair)
+    seen_pair = np.zeros((N_EDGES, 2, 2))
     np.add.at(seen_pair, (t.edge[child], y[t.parent[child]], y[child]), 1)
-    params = [model.unary, model.pair]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
-        one, two = model.marginals(t)
-        expected = np.zeros_like(model.pair)
-        np.add.at(expected, t.edge[child], np.exp(two[child]))
-        grads = [(seen - t.x.T @ np.exp(one)) / len(pages) - penalty * model.unary, (seen_pair - expected) / len(pages) - penalty * model.pair]
-        for w, g, m, v in zip(params, grads, first, second):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return model
+    seen = np.concatenate([seen.ravel(), seen_pair.ravel()])
+    model = lambda w: Model(w[: 2 * N_FEATURES].reshape(-1, 2), w[2 * N_FEATURES :].reshape(N_EDGES, 2, 2))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        one, two, z = model(w).messages(t)
+        pair = np.zeros((N_EDGES, 2, 2))
+        np.add.at(pair, t.edge[child], np.exp(two[child] - z[child, None, None]))
+        expected = np.concatenate([(t.x.T @ np.exp(one - z[:, None])).ravel(), pair.ravel()])
+        return (z[root].sum() - seen @ w) / len(pages) + penalty / 2 * (w @ w), (expected - seen) / len(pages) + penalty * w
+
+    return model(_least(loss, np.zeros(len(seen)), steps))
 
 
 def main_texts(htmls: list[str], model: Model) -> list[str]:
@@ -435,7 +591,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """The main text of every page.
 
     Returns id_col, url_col, text (empty if the page has none). A null or empty html gives an empty text; null and
-    repeated ids are read row by row; other columns are ignored; an empty table gives an empty one. No text is capped."""
+    repeated ids are read row by row, equal pages have equal texts; other columns are ignored, whatever their names; an empty table gives an
+    empty one. No text is capped, and the time grows with the page's length, however deep its elements lie. Ids may be of any type."""
     model = trained()
     d = own_columns(pages, id_col, url_col, html_col).toDF("id", "url", "html")
     kinds = dict(d.dtypes)
