@@ -300,8 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_copies, rows of that class; n_links, other classes that share a band and whose similarity is at least the threshold (exact within MARGIN of it);
     group_id, the smallest id that links connect it to. A null text counts as empty; texts without words are one class
     without links. A row with a null id belongs to the class of its text but never names it; a class of null ids
-    alone has a null class_id, and a group of those a null group_id. Rows that repeat an id are handled one by one. An empty
-    table gives an empty one."""
+    alone has a null class_id, and a group of those a null group_id. Rows that repeat an id are handled one by one. Texts are compared whole, however
+    long; a similarity of exactly the threshold is a link. Other columns are ignored, whatever their names. An empty
+    table gives an empty one. Ids are integers."""
     d = own_columns(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ isotonic regression over a fixed grid of those scores turns scores into probabil
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -67,8 +68,9 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.knots, self.levels), 0.0, 1.0)
 
 
-def summed(df: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], groups: int = 16) -> np.ndarray | None:
-    """Sum over all rows of one(x, y, half): by partition first, then in a few groups, then here."""
+def summed(df: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], last: int = 16) -> np.ndarray | None:
+    """Sum over all rows of one(x, y, half): by partition, then in groups as many as the root of the partitions, then in `last`, then here."""
+    groups = max(last, math.isqrt(df.rdd.getNumPartitions()))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -87,8 +89,11 @@ def summed(df: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], np
         total = sum(np.frombuffer(t, np.float64) for t in table["total"].to_pylist())
         return pa.table({"g": table["g"][:1], "total": pa.array([total.tobytes()])})
 
-    rows = df.mapInArrow(partial, "g int, p int, total binary").groupBy("g").applyInArrow(add, "g int, total binary").collect()
-    return sum(np.frombuffer(r.total, np.float64) for r in sorted(rows, key=lambda r: r.g)) if rows else None
+    rows = df.mapInArrow(partial, "g int, p int, total binary").groupBy("g").applyInArrow(add, "g int, total binary")
+    if groups > last:
+        rows = rows.select((F.col("g") % last).alias("g"), F.col("g").alias("p"), "total").groupBy("g").applyInArrow(add, "g int, total binary")
+    found = rows.collect()
+    return sum(np.frombuffer(r.total, np.float64) for r in sorted(found, key=lambda r: r.g)) if found else None
 
 
 def isotonic(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -105,8 +110,9 @@ def isotonic(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """Fit to labels (id, y of 0 or 1, half of 0 or 1), each joined to its row of stats.
 
-    Rows with a null label or id don't count. Without labels every score is 0.5."""
-    rows = stats.join(labels.where("y is not null and id is not null"), "id").select("x", F.col("y").cast("double").alias("y"), F.col("half").cast("int").alias("half"))
+    Rows with a null label or id don't count. Without labels every score is 0.5. Statistics beyond five standard deviations count as
+    five, raw scores outside LOW to HIGH as these: labels are 0 and 1, so a ridge's scores lie between them or little beside."""
+    rows = stored(stats.join(labels.where("y is not null and id is not null"), "id").select("x", F.col("y").cast("double").alias("y"), F.col("half").cast("int").alias("half")), "labelled")
     k = len(STATISTICS)
     model = Model(np.zeros(k), np.ones(k), np.zeros(FEATURES + k + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]))
     m = summed(rows, lambda x, y, half: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
@@ -172,7 +178,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Returns id_col, row_col (a key of the rows, if one is named), held_out, score, predicted (1 if score >= 0.5). Only the text goes into a score. A null
     id is scored too (held_out is null); its label is not used. A null or empty text has the statistics of an
     empty one. Labels other than 0 and 1 and null ones don't count; a document with several labels counts once
-    for each. Repeated ids are scored one by one. Without usable labels every score is 0.5."""
+    for each. Repeated ids are scored one by one; equal texts have equal scores. Texts are read whole, however long. Without usable labels every score
+    is 0.5. Other columns are ignored, whatever their names; an empty table gives an empty one."""
     fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(3))
     stats = document_statistics(docs, id_col, text_col, row_col)
     y = own_columns(labels, id_col, label_col).toDF("id", "y").where("y in (0, 1)")

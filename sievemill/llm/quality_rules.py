@@ -125,7 +125,7 @@ def line_features(part: Texts, rows: Words, words: Words, hashes: np.ndarray) ->
 
 @lru_cache(1)
 def trained() -> crf.Crf:
-    """The model; its labelled table is fixed, so every worker fits the same one."""
+    """The model; its labelled table is fixed, so every fit gives the same one."""
     table = labelled_lines()
     part = texts(pa.array(["\n".join(t) for t, _ in table]))
     rows, words = lines(part), part.words()
@@ -164,7 +164,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word),
     n_boilerplate_lines, content_share, base_failed, kept. A null or empty text has no words and fails; so does
-    one of fewer than 10 words. Null and repeated ids are judged row by row."""
+    one of fewer than 10 words. Null and repeated ids are judged row by row; equal texts have equal verdicts. A share of exactly CONTENT_SHARE is
+    kept; a text of one line is one label. Texts are read whole, however long. Other columns are ignored, whatever their names; an empty
+    table gives an empty one. Ids may be of any type."""
     model = trained()
     d = own_columns(docs, id_col, text_col).toDF("id", "text")
 

@@ -80,14 +80,11 @@ def text_bytes(df: DataFrame) -> int:
     return UNPACKED * size
 
 
-def pieces(size: float, target: int = 12 << 20) -> int:
-    """Into how many pieces of about target bytes to cut size bytes."""
-    return max(4, math.ceil(size / target))
+def pieces(size: float, target: int = 12 << 20, most: int = 256 << 20) -> int:
+    """Into how many pieces to cut size bytes: of about target bytes, of more where pieces would outnumber what one sends to another.
 
-
-def by_id(id_col: str, n: int):
-    """Column: one of n chunks, from the id; null ids share a chunk with others."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")
+    From 64 GB on pieces grow with the root of the size, up to `most`: n pieces send each other up to n * n messages, and these must stay large."""
+    return max(4, math.ceil(size / min(most, target * max(1.0, size / (64 << 30)) ** 0.5)))
 
 
 def own_columns(docs: DataFrame, *names: str) -> DataFrame:

@@ -11,14 +11,14 @@ documents is one entry per chunk. Documents are shuffled once (the plan reuses t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.shared import by_id, own_columns, pieces, text_bytes
+from sievemill.llm.shared import own_columns, pieces, text_bytes
 from sievemill.llm.text import FIRST, SECOND, Words, packed, slices, texts, values
 
 PERIOD, COVER = 7, (1, 2, 4)
@@ -194,11 +194,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns id_col, n_words, n_removed, kept_text (kept words joined by one space). Windows are those of the
     input. A null text counts as empty; an empty one has no words. A row with a null id removes nothing and
-    loses nothing. Rows that repeat an id don't affect each other. Other columns are ignored; an empty
-    table gives an empty one."""
+    loses nothing. Rows that repeat an id don't affect each other, not even equal ones; ids are integers. Texts are compared whole, however long. Other
+    columns are ignored, whatever their names; an empty table gives an empty one.
+
+    Rows without an id and texts too short for a window pass by; all others are spread by id and text."""
     size = text_bytes(docs)
     n_chunks, n_buckets = pieces(size), pieces(size * 0.7)
-    d = own_columns(docs, id_col, text_col).toDF("id", "text").select(by_id("id", n_chunks).alias("chunk"), F.col("id").cast("long").alias("id"), "text")
+    d = own_columns(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
+    alone = F.col("id").isNull() | (F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * window - 1)
+    short = d.where(alone)
+    d = d.where(~alone).select(F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), "id", "text")
+
+    def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, part in slices(texts(batch.column("text"))):
+                words = part.words()
+                yield pa.RecordBatch.from_arrays([batch.column("id")[i:j], pa.array(words.counts.astype(np.int64)), pa.array(np.zeros(j - i, np.int64)), words.joined(np.ones(len(words), bool))], ["id", "n_words", "n_removed", "kept_text"])
 
     def chunk_of(table: pa.Table) -> int:
         return table["chunk"][0].as_py()
@@ -247,5 +258,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = by_chunk(d).applyInArrow(anchors, MESSAGE).groupBy("bucket").applyInArrow(_answer(np.uint64, _shared), "chunk int, body binary")
     earlier = by_chunk(d).cogroup(by_chunk(shared)).applyInArrow(windows, MESSAGE).groupBy("bucket").applyInArrow(_answer(ENTRY, _earlier), "chunk int, body binary")
     told = shared.withColumn("kind", F.lit(0)).union(earlier.withColumn("kind", F.lit(1)))
-    out = by_chunk(d).cogroup(by_chunk(told)).applyInArrow(cut_both, "id long, n_words long, n_removed long, kept_text string")
+    result = "id long, n_words long, n_removed long, kept_text string"
+    out = by_chunk(d).cogroup(by_chunk(told)).applyInArrow(cut_both, result).union(short.mapInArrow(unchanged, result))
     return out.withColumnRenamed("id", id_col)

@@ -102,7 +102,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """Tokens of every text.
 
     Returns id_col, n_words, n_tokens. A null or empty text has none. Null and repeated ids are counted row by row; other
-    columns are ignored; an empty table gives an empty one. The vocabulary's size is checked before it is sent to tasks."""
+    columns are ignored, whatever their names; an empty table gives an empty one. Of segmentations with equal scores the one whose last piece is longest counts.
+    Texts are read whole, and words of any length are scored whole. Ids may be of any type. The vocabulary's size is checked before it is sent to tasks."""
     vocabulary = pieces(model_path)
     d = own_columns(docs, id_col, text_col).toDF("id", "text")
 

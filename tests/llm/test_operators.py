@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import crf, decontamination, html_extract, mixing, near_dedup, pii, quality_rules, shared, token_counts, warc
+from sievemill.llm import crf, decontamination, html_extract, mixing, near_dedup, pii, quality_classifier, quality_rules, shared, token_counts, warc
 from sievemill.llm.decontamination import leaks
 from sievemill.llm.mixing import mix
 from sievemill.llm.near_dedup import near_duplicates
@@ -70,6 +70,9 @@ def test_remove_repeats(spark, rows):
     got = remove_repeats(frame(spark, rows).repartition(5)).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == expected
     assert sum(r.n_removed for r in got) > 60000
+    same = " ".join(words(random.Random(2), 30))
+    hot = remove_repeats(frame(spark, [(5, same, "a")] * 40 + [(None, same, "a")] * 40 + [(4, same + " end", "b")] * 3 + [(9, None, "a")] * 5)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in hot) == {(5, 30, 30): 40, (None, 30, 0): 40, (4, 31, 0): 3, (9, 0, 0): 5}
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
@@ -636,5 +639,44 @@ def test_quality_scores(spark):
     assert {r.doc_id: r.score for r in quality_scores(frame(spark, data), held).collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_scores_follow_kernel_ridge():
+    """Random features against ridge regression with the Gaussian kernel itself."""
+    rng = np.random.default_rng(8)
+    k, n = len(quality_classifier.STATISTICS), 500
+    x = rng.normal(size=(n, k))
+    y = ((x[:, 0] + np.sin(2 * x[:, 1]) + 0.5 * x[:, 2] * x[:, 3] + 0.3 * rng.normal(size=n)) > 0).astype(float)
+    model = quality_classifier.Model(np.zeros(k), np.ones(k), np.zeros(0), np.zeros(0), np.zeros(0))
+    f = model.features(x)
+    d = f.shape[1] - k - 1
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * quality_classifier.WIDTH**2))
+    z = f[:, :d]
+    assert np.abs(z @ z.T - kernel).max() < 0.35 and np.abs(z @ z.T - kernel).mean() < 0.06
+    train, test = np.arange(n) < 350, np.arange(n) >= 350
+    lam = quality_classifier.PENALTY * train.sum()
+    gram = kernel + x @ x.T / k**2 + 1
+    exact = gram[test][:, train] @ np.linalg.solve(gram[train][:, train] + lam * np.eye(train.sum()), y[train])
+    near = f[test] @ np.linalg.solve(f[train].T @ f[train] + lam * np.eye(f.shape[1]), f[train].T @ y[train])
+    assert np.corrcoef(exact, near)[0, 1] > 0.85 and ((exact > 0.5) == (near > 0.5)).mean() > 0.85
+
+
+def test_sums_in_a_tree(spark, monkeypatch):
+    """Sums don't depend on how partitions are grouped; null labels, long texts and repeated rows are in them once each."""
+    rows = [([float(i), 1.0], float(i % 2), i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "x array<float>, y double, half int").repartition(90)
+    one = lambda x, y, half: np.array([x[:, 0].sum(), y.sum(), half.sum(), len(x)])
+    for last in (1, 3, 1000):
+        assert quality_classifier.summed(df, one, last).tolist() == [124750, 250, 250, 500]
+    assert quality_classifier.summed(df.where("y > 5"), one) is None
+
+
+def test_scores_of_long_and_repeated_texts(spark):
+    rng = random.Random(14)
+    long = " ".join(words(rng, 150000, 5000))
+    data = [(i, " ".join(words(rng, 40)) if i % 2 else "BUY!! " * 30, "a") for i in range(80)] + [(90, long, "a"), (90, long, "a"), (90, "BUY!! " * 30, "b"), (None, long, None)]
+    got = [(r.doc_id, r.score) for r in quality_scores(frame(spark, data), spark.createDataFrame([(i, i % 2) for i in range(80)] + [(90, 1)], "doc_id long, quality int")).collect()]
+    of = [s for i, s in got if i == 90]
+    assert len(got) == len(data) and len(of) == 3 and len({s for i, s in got if i in (90, None)}) == 2 and min(of) < 0.5
+
+
 def test_isotonic():
     assert isotonic(np.ones(5), np.array([1.0, 0, 1, 3, 2])).tolist() == [0.5, 0.5, 1, 2.5, 2.5]
