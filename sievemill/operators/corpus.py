@@ -35,8 +35,10 @@ def source_counts(messages: DataFrame) -> DataFrame:
 def fingerprint(keys: DataFrame, *columns: str) -> DataFrame:
     """(id): 16 hexadecimal digits of the distinct rows' contents, whatever their order.
 
-    Rows are hashed, hashes of a range are joined in order and hashed, then the ranges'."""
-    key: Column = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    Each value is hashed with its length before it and null apart from every text, so no two rows look alike. Rows are hashed, hashes of a range
+    are joined in order and hashed, then the ranges'."""
+    parts = (F.col(c).cast("string") for c in columns)
+    key: Column = F.sha2(F.concat(*(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in parts)), 256)
     h = keys.select(key.alias("h")).distinct().withColumn("range", F.substring("h", 1, RANGE_DIGITS))
     ranges = h.groupBy("range").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     return ranges.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "h"))), lambda s: s["h"]), ""), 256), 1, 16).alias("id"))

@@ -201,6 +201,7 @@ def sql() -> dict[str, str]:
         "families_verb": f"WITH {_FAMILIES} SELECT f.stream, template, bank_id, verb, direction, {_LABEL} AS label, member_count, total, {_prio('total', 1)} AS priority, member_count - 1 AS n_variants, variants, examples FROM f JOIN fe USING (stream, family)",
         "families_identity": f"WITH {_CLUSTERS} SELECT stream, template, bank_id, CAST(1 AS BIGINT) AS member_count, occurrences AS total, priority, readiness FROM c",
         "similar_template_pairs": f"WITH {_CLUSTERS}, x AS (SELECT DISTINCT bank_id, template FROM c), y AS (SELECT a.bank_id, a.template AS a, b.template AS b, 1 - levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template)) AS z FROM x a JOIN x b ON a.bank_id IS NOT DISTINCT FROM b.bank_id AND a.template < b.template) SELECT bank_id, a, b, round(z, 6) AS similarity FROM y WHERE z >= 0.4",
+        "families_levenshtein": _levenshtein(_CLUSTERS, 0.6),
         "health_rates": f"WITH {_TEMPLATED}, hc AS (SELECT template, {_HCOUNTS} FROM t WHERE matched GROUP BY ALL) SELECT template, members, {_RATES} FROM hc",
         "health_score": f"WITH {_SUCCESS} SELECT template, bank_id, members, pattern_desc, health_score, app_accepted FROM su",
         "reconciliation": f"WITH {_SUCCESS} SELECT CAST(round(sum(health_score * members) / sum(members)) AS INTEGER) AS mean_health_score, "
@@ -228,8 +229,20 @@ SELECT CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'chan
     return out
 
 
+def _levenshtein(clusters: str, threshold: float) -> str:
+    """Greedy families, one template after the other: each row carries the seeds so far."""
+    near = f"levenshtein(x, r.template) <= floor(round({1 - threshold:.6f} * greatest(length(x), length(r.template)), 6))"
+    return f"""WITH RECURSIVE {clusters},
+rk AS (SELECT *, row_number() OVER (PARTITION BY stream, bank_id ORDER BY occurrences DESC, template) AS i FROM c),
+lev AS (SELECT stream, bank_id, i, template, occurrences, [template] AS seeds, template AS seed FROM rk WHERE i = 1
+  UNION ALL
+  SELECT r.stream, r.bank_id, r.i, r.template, r.occurrences, CASE WHEN hit IS NULL THEN list_append(lev.seeds, r.template) ELSE lev.seeds END, coalesce(hit, r.template)
+  FROM lev JOIN rk AS r ON r.stream = lev.stream AND r.bank_id IS NOT DISTINCT FROM lev.bank_id AND r.i = lev.i + 1, LATERAL (SELECT list_filter(lev.seeds, lambda x: {near})[1] AS hit))
+SELECT stream, seed AS template, bank_id, count(*) AS member_count, CAST(sum(occurrences) AS BIGINT) AS total FROM lev GROUP BY ALL"""
+
+
 def _fingerprint(table: str, name: str, *columns: str) -> str:
-    key = "sha256(" + " || chr(1) || ".join(f"coalesce({c}, '')" for c in columns) + ")"
+    key = "sha256(" + " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns) + ")"
     return f"hh AS (SELECT DISTINCT {key} AS h FROM {table}), rr AS (SELECT h[1:2] AS r, sha256(string_agg(h, '' ORDER BY h)) AS h FROM hh GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY r))[1:16] AS {name} FROM rr"
 
 
