@@ -5,12 +5,13 @@ engines on RE2, with which the results are checked."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.functions.regexes import EDGE, ascii_edges, once, squeezed
+from sievemill.functions.regexes import EDGE, ascii_edges, compiles, once, squeezed
 
 MOST_CHARS = 8000
 _D, _L, _A = "[0-9]", "[A-Za-z]", "[A-Za-z0-9]"
@@ -29,9 +30,11 @@ class Rule:
     re2_put: str  # replacement with the groups that stand for look-around
     value: str  # the RE2 spelling with the value in group value_group
     value_group: int
+    #: a text that holds none of these has no match; a digit stands for any
+    needs: tuple[str, ...] = ()
 
 
-def _rule(field: str, pattern: str, before: str = "", after: str = "", around: str = "") -> Rule:
+def _rule(field: str, pattern: str, before: str = "", after: str = "", around: str = "", needs: tuple[str, ...] = ("0",)) -> Rule:
     flags = "(?i)" if pattern.startswith("(?i)") else ""
     core = pattern[len(flags) :]
     put = f"<{field}>"
@@ -40,24 +43,24 @@ def _rule(field: str, pattern: str, before: str = "", after: str = "", around: s
     groups = [f"({before})" if before else "", core, f"({after})" if after else ""]
     back = ("\\1" if before else "") + shown + (("\\2" if before else "\\1") if after else "")
     value = flags + f"{groups[0]}({core}){groups[2]}"
-    return Rule(field, ascii_edges(jvm), flags + "".join(groups), shown, back, value, 2 if before else 1)
+    return Rule(field, ascii_edges(jvm), flags + "".join(groups), shown, back, value, 2 if before else 1, needs)
 
 
 _NAME_RUN = f"{_CAP}{_NAMEPART}*(?:\\s+{_CAP}{_NAMEPART}*)*"
 _MIXED = "|".join(("D" + "L" + "A{3,}", "D{2}LA{2,}", "D{3}LA+", "D{4,}LA*", "LDA{3,}", "L{2}DA{2,}", "L{3}DA+", "L{4,}DA*")).replace("D", _D).replace("L", "#").replace("A", _A).replace("#", _L)
 RULES: tuple[Rule, ...] = (
-    _rule("URL", r"(?i)https?://[^\s]+"),
-    _rule("REFERENCE", r"(?i)[A-Z0-9&]{4,}", before="id=|Receipt/"),
-    _rule("NAME", rf"(?:(?:{'|'.join(sorted(('Mr', 'Mrs', 'Ms', 'Dr'), reverse=True))})\.?\s+)?{_NAME_RUN}", before=r"\bDear\s"),
-    _rule("NAME", rf"\({_CAP}[-A-Za-z .']+\)", around="()"),
-    _rule("NAME", rf"{_CAP}[a-z]+(?:\s+{_CAP}{_NAMEPART}+){{1,3}}", before=r"\b(?:from|to)\s", after=r"\s+on\b"),
-    _rule("MERCHANT", rf"{_L}[-A-Za-z0-9 &'.]*?", before=r"\bat\s", after=r"\s+on\b"),
+    _rule("URL", r"(?i)https?://[^\s]+", needs=("://",)),
+    _rule("REFERENCE", r"(?i)[A-Z0-9&]{4,}", before="id=|Receipt/", needs=("=", "/")),
+    _rule("NAME", rf"(?:(?:{'|'.join(sorted(('Mr', 'Mrs', 'Ms', 'Dr'), reverse=True))})\.?\s+)?{_NAME_RUN}", before=r"\bDear\s", needs=("Dear",)),
+    _rule("NAME", rf"\({_CAP}[-A-Za-z .']+\)", around="()", needs=("(",)),
+    _rule("NAME", rf"{_CAP}[a-z]+(?:\s+{_CAP}{_NAMEPART}+){{1,3}}", before=r"\b(?:from|to)\s", after=r"\s+on\b", needs=()),
+    _rule("MERCHANT", rf"{_L}[-A-Za-z0-9 &'.]*?", before=r"\bat\s", after=r"\s+on\b", needs=()),
     _rule("DATE", rf"\b{_D}{{4}}[-/]{_D}{{1,2}}[-/]{_D}{{1,2}}\b"),
     _rule("DATE", rf"\b{_D}{{1,2}}[-/]{_D}{{1,2}}[-/]{_D}{{2,4}}\b"),
     _rule("DATE", rf"(?i)\b{_D}{{1,2}}[- ]{_MONTH}[- ]{_D}{{2,4}}\b"),
-    _rule("TIME", rf"(?i)\b{_D}{{1,2}}:{_D}{{2}}(?::{_D}{{2}})?\s?(?:[AP]M)?\b"),
-    _rule("ACCOUNT", rf"\b{_D}[*]+{_D}+\b"),
-    _rule("CARD", rf"[*]{{2,}}{_D}{{2,4}}\b"),
+    _rule("TIME", rf"(?i)\b{_D}{{1,2}}:{_D}{{2}}(?::{_D}{{2}})?\s?(?:[AP]M)?\b", needs=(":",)),
+    _rule("ACCOUNT", rf"\b{_D}[*]+{_D}+\b", needs=("*",)),
+    _rule("CARD", rf"[*]{{2,}}{_D}{{2,4}}\b", needs=("*",)),
     _rule("PHONE", rf"\b(?:0|[+]?251)?9{_D}{{8}}\b"),
     _rule("AMOUNT", rf"(?i){_MONEY}\s?{_NUMBER}(?:[.]{_D}+)?"),
     _rule("AMOUNT", rf"(?i)\b{_NUMBER}[.]{_D}{{2}}\s?(?:Br|ETB)\b"),
@@ -68,28 +71,59 @@ RULES: tuple[Rule, ...] = (
 FIELDS = tuple(sorted({r.field for r in RULES}))
 
 
-def _replaced(rule: Rule, text: Column) -> Column:
-    """One reference to the text: were there more, inlining a chain of rules would multiply it."""
-    return F.regexp_replace(text, rule.jvm, rule.put)
+def _possible(rule: Rule, text: Column) -> Column:
+    """Whether the text may hold a match: a look for a few characters, far cheaper than the rule."""
+    out: Column | None = None
+    for n in rule.needs:
+        found = text.rlike("[0-9]") if n == "0" else F.contains(text, F.lit(n))
+        out = found if out is None else out | found
+    return F.lit(True) if out is None else out
 
 
-def with_template(df: DataFrame, body: str, template: str = "template") -> DataFrame:
-    """df with the template of a body. One projection a rule keeps each rule's input a plain column."""
-    df = df.withColumn(template, F.substring(F.col(body), 1, MOST_CHARS))
-    for rule in RULES:
-        df = df.withColumn(template, _replaced(rule, F.col(template)))
-    return df.withColumn(template, once(squeezed(F.col(template))))
+def _with(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f(text) with one reference to the text: were there more, inlining a chain of rules would multiply it."""
+    return F.get(F.transform(F.array(text), f), F.lit(0))
+
+
+def _replaced(rule: Rule) -> Callable[[Column], Column]:
+    return lambda t: F.when(_possible(rule, t), F.regexp_replace(t, rule.jvm, rule.put)).otherwise(t)
+
+
+def _split(rule: Rule) -> Callable[[Column], Column]:
+    """What the rule finds, and the text with its placeholders."""
+
+    def split(t: Column) -> Column:
+        found = F.struct(F.regexp_extract_all(t, F.lit(rule.jvm), F.lit(0)).alias("values"), F.regexp_replace(t, rule.jvm, rule.put).alias("text"))
+        return F.when(_possible(rule, t) & t.rlike(rule.jvm), found).otherwise(F.struct(F.array().cast("array<string>").alias("values"), t.alias("text")))
 
+    return split
 
-def with_spans(df: DataFrame, body: str, template: str = "template", spans: str = "spans") -> DataFrame:
-    """df with the template and the raw text behind each placeholder: an array of (rule, field, values) in rule order."""
+
+def _usable(df: DataFrame, rules: tuple[Rule, ...]) -> list[bool]:
+    return [r in RULES or compiles(df.sparkSession, r.jvm) for r in rules]
+
+
+def with_template(df: DataFrame, body: str, template: str = "template", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """df with the template of a body, and whether it is degraded: a rule that the JVM doesn't take is left out, so values may remain.
+
+    One projection a rule keeps each rule's input a plain column. A null body has a null template."""
+    usable = _usable(df, rules)
     df = df.withColumn(template, F.substring(F.col(body), 1, MOST_CHARS))
-    for i, rule in enumerate(RULES):
-        df = df.withColumn(f"_span{i}", F.regexp_extract_all(F.col(template), F.lit(rule.jvm), F.lit(0)))
-        df = df.withColumn(template, _replaced(rule, F.col(template)))
-    one = [F.struct(F.lit(i).alias("rule"), F.lit(r.field).alias("field"), F.col(f"_span{i}").alias("values")) for i, r in enumerate(RULES)]
-    df = df.withColumns({template: once(squeezed(F.col(template))), spans: once(F.filter(F.array(*one), lambda s: F.size(s["values"]) > 0))})
-    return df.drop(*(f"_span{i}" for i in range(len(RULES))))
+    for rule in (r for r, ok in zip(rules, usable) if ok):
+        df = df.withColumn(template, _with(F.col(template), _replaced(rule)))
+    return df.withColumns({template: once(squeezed(F.col(template))), "degraded": F.lit(not all(usable))})
+
+
+def with_spans(df: DataFrame, body: str, template: str = "template", spans: str = "spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """with_template and the raw text behind each placeholder: an array of (rule, field, values) in rule order."""
+    usable = _usable(df, rules)
+    text, one = F.substring(F.col(body), 1, MOST_CHARS), []
+    for i, rule in ((i, r) for i, (r, ok) in enumerate(zip(rules, usable)) if ok):
+        df = df.withColumn(f"_rule{i}", _with(text, _split(rule)))
+        text = F.col(f"_rule{i}")["text"]
+        one.append(F.struct(F.lit(i).alias("rule"), F.lit(rule.field).alias("field"), F.col(f"_rule{i}")["values"].alias("values")))
+    df = df.withColumns({template: once(squeezed(text)), spans: once(F.filter(F.array(*one), lambda s: F.size(s["values"]) > 0)), "degraded": F.lit(not all(usable))})
+    return df.drop(*(f"_rule{i}" for i in range(len(rules))))
 
 
 def truncated(body: Column) -> Column:
@@ -104,4 +138,4 @@ def sql(body: str, spaces: str) -> str:
     return f"trim(regexp_replace({text}, '{spaces}', ' ', 'g'))"
 
 
-__all__ = ["EDGE", "FIELDS", "MOST_CHARS", "RULES", "sql", "truncated", "with_spans", "with_template"]
+__all__ = ["EDGE", "FIELDS", "MOST_CHARS", "RULES", "Rule", "sql", "truncated", "with_spans", "with_template"]

@@ -67,11 +67,14 @@ def top_description(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def clusters(rows: DataFrame) -> DataFrame:
-    """Every cluster of parsed, normalized messages: matched, template, occurrences, examples, bank, priority, readiness."""
+    """Every cluster of parsed, normalized messages: matched, template, occurrences, examples, bank, priority, readiness, degraded (if one of its
+    messages is). Messages without a template are in none."""
     keys = ("matched",)
-    out = counts(rows, *keys).join(first_examples(rows, *keys), ["matched", "template"]).join(mode_bank(rows, *keys), ["matched", "template"], "left")
-    degraded = F.lit(False).alias("degraded")
-    found = out.select("*", priority(F.col("occurrences")).alias("priority"), priority_rank(F.col("occurrences")).alias("priority_rank"), readiness(F.col("template")).alias("readiness"), degraded)
+    rows = rows.where("template is not null")
+    bad = F.bool_or("degraded") if "degraded" in rows.columns else F.lit(False)
+    size = rows.groupBy(*keys, "template").agg(F.count(F.lit(1)).alias("occurrences"), bad.alias("degraded"))
+    out = size.join(first_examples(rows, *keys), ["matched", "template"]).join(mode_bank(rows, *keys), ["matched", "template"], "left")
+    found = out.select("*", priority(F.col("occurrences")).alias("priority"), priority_rank(F.col("occurrences")).alias("priority_rank"), readiness(F.col("template")).alias("readiness"))
     return found.withColumn("_a", annotation(F.col("template"))).select("*", "_a.verb", "_a.direction").drop("_a")
 
 

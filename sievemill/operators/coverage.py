@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions.heuristic import looks_like_transaction
+from sievemill.functions.normalize import truncated
+from sievemill.functions.regexes import trimmed
 
 
 def percent(part: Column, whole: Column, empty: float) -> Column:
@@ -19,6 +21,7 @@ def overall(rows: DataFrame) -> DataFrame:
         F.count_if("matched").alias("matched"),
         F.count_if(F.coalesce(F.col("extraction.accepted"), F.lit(False))).alias("app_accepted"),
         F.count_if(~F.col("matched") & F.col("bank_id").isNull()).alias("unattributed"),
+        F.count_if("parse_error").alias("parse_errors"),
     )
     return out.withColumn("coverage_pct", percent(F.col("matched"), F.col("total"), 0.0))
 
@@ -55,15 +58,30 @@ def messages_by_type(rows: DataFrame) -> DataFrame:
     return rows.where("matched").groupBy(F.coalesce("tx_type", F.lit("UNKNOWN")).alias("tx_type")).agg(F.count(F.lit(1)).alias("messages"))
 
 
-def quality(rows: DataFrame, malformed: int = 0, empty: int = 0, invalid_patterns: int = 0) -> DataFrame:
-    """One row of anomaly counts and whether all that matter are zero; dropped blank bodies don't."""
-    from sievemill.functions.normalize import truncated
+COUNTERS = ("dataset_malformed", "parse_errors", "normalization_degraded", "normalization_truncated", "clustering_skipped", "units_redacted", "unit_errors", "field_shape_fallbacks")
 
-    lit = lambda n, name: F.lit(n).cast("long").alias(name)
-    out = rows.agg(F.count(F.lit(1)).alias("messages_loaded"), F.count_if(truncated(F.col("body"))).alias("normalization_truncated"))
-    zeros = ("parse_errors", "clustering_skipped", "normalization_degraded", "units_redacted", "unit_errors", "field_shape_fallbacks")
-    out = out.select("*", lit(malformed, "dataset_malformed"), lit(empty, "dataset_empty_bodies"), lit(invalid_patterns, "invalid_patterns"), *(lit(0, z) for z in zeros))
-    clean = (F.col("dataset_malformed") == 0) & (F.col("normalization_truncated") == 0)
-    for z in zeros:
-        clean = clean & (F.col(z) == 0)
-    return out.withColumn("clean", clean)
+
+def quality(records: DataFrame, rows: DataFrame, units: DataFrame | None = None, shapes: DataFrame | None = None, invalid_patterns: int = 0) -> DataFrame:
+    """One row of anomaly counts, each a sum of flags, and whether all that matter are zero; dropped blank bodies and invalid patterns don't.
+
+    records: what was loaded, with body and, where the loader says so, malformed. rows: the messages with template, degraded and, if
+    parsed, parse_error. units: units of an export (normalized_text, degraded). shapes: shapes of fields."""
+    flag = lambda df, c: F.count_if(c) if c in df.columns else F.lit(0).cast("long")
+    none = lambda *names: records.sparkSession.range(1).select(*(F.lit(0).cast("long").alias(n) for n in names))
+    malformed = F.coalesce(F.col("malformed"), F.lit(False)) if "malformed" in records.columns else F.lit(False)
+    loaded = records.agg(F.count_if(malformed).alias("dataset_malformed"), F.count_if(~malformed & (trimmed(F.coalesce("body", F.lit(""))) == "")).alias("dataset_empty_bodies"))
+    normal = rows.agg(
+        F.count(F.lit(1)).alias("messages_loaded"),
+        flag(rows, "parse_error").alias("parse_errors"),
+        flag(rows, "degraded").alias("normalization_degraded"),
+        F.count_if(truncated(F.col("body"))).alias("normalization_truncated"),
+        F.count_if(F.col("template").isNull()).alias("clustering_skipped"),
+    )
+    gone = F.col("normalized_text").isNull() & ~F.col("degraded")
+    out = units.agg(F.count_if(~gone & ~F.col("degraded")).alias("units_exported"), F.count_if("degraded").alias("units_redacted"), F.count_if(gone).alias("unit_errors")) if units is not None else none("units_exported", "units_redacted", "unit_errors")
+    coarse = shapes.agg(F.count_if(F.col("regex").isNull()).alias("field_shape_fallbacks")) if shapes is not None else none("field_shape_fallbacks")
+    one = loaded.crossJoin(normal).crossJoin(out).crossJoin(coarse)  # four tables of one row
+    clean = F.lit(True)
+    for c in COUNTERS:
+        clean = clean & (F.col(c) == 0)
+    return one.select("*", F.lit(invalid_patterns).cast("long").alias("invalid_patterns"), clean.alias("clean"))

@@ -43,7 +43,7 @@ def message_totals(overall: DataFrame) -> DataFrame:
         (F.col("matched") - F.col("app_accepted")).alias("app_rejected"),
         (F.col("total") - F.col("matched")).alias("unparsed"),
         F.round("coverage_pct", 2).alias("parsed_percent"),
-        F.lit(0).cast("long").alias("parse_errors"),
+        "parse_errors",
     )
 
 

@@ -136,7 +136,7 @@ def similar_pairs(clusters: DataFrame, threshold: float = SIMILARITY) -> DataFra
     near = near & ((F.col("short_n") < F.col("long_n")) | (F.col("short") < F.col("long")))  # a pair of equal length once
     pairs = cut.join(short, same & near).select("bank_id", "long", "short", "long_n", "k").distinct()
     pairs = pairs.withColumn("d", F.expr("levenshtein(long, short, k)")).where("d >= 0")
-    pairs = pairs.withColumn("similarity", 1 - F.col("d") / F.col("long_n")).where(F.col("similarity") >= threshold)
+    pairs = pairs.withColumn("similarity", 1 - F.col("d") / F.greatest("long_n", F.lit(1))).where(F.col("similarity") >= threshold)
     return pairs.select("bank_id", F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 

@@ -192,8 +192,8 @@ def _judged(c: Column, party_in_text: Column) -> Column:
 def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: str = "address") -> DataFrame:
     """messages with the result of the catalog.
 
-    Adds sender_bank, matched, bank_id, bank_name, tx_type, pattern_desc, pattern_ord and the struct extraction (accepted, reason
-    and flags; null if unmatched). Of the patterns that match, the first whose extraction is accepted wins, else the first. A
+    Adds sender_bank, matched, bank_id, bank_name, tx_type, pattern_desc, pattern_ord, parse_error (there is no body; the message counts as unmatched) and
+    the struct extraction (accepted, reason and flags; null if unmatched). Of the patterns that match, the first whose extraction is accepted wins, else the first. A
     sender whose bank has patterns is matched against those, any other sender against all."""
     with_patterns = [b.id for b in catalog.banks if any(p.bank_id == b.id for p in catalog.patterns)]
     clean = F.col("_clean")
@@ -220,6 +220,7 @@ def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: st
             "tx_type": hit["type"],
             "pattern_desc": hit["description"],
             "pattern_ord": hit["ord"],
+            "parse_error": F.col(body).isNull(),
             "extraction": F.when(hit.isNotNull(), F.struct((hit["reason"] == "none").alias("accepted"), hit["reason"].alias("reason"), *(hit[c].alias(c) for c in FLAG_COLUMNS))),
         }
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.normalize import with_spans, with_template
 from sievemill.functions.regexes import spread
-from sievemill.operators.match import Catalog, parse
+from sievemill.operators.match import Catalog, Pattern, parse
 from sievemill.sources import catalog as catalogs
 
 FIXTURES = Path(__file__).resolve().parent.parent / "fixtures"
@@ -31,6 +31,9 @@ BODIES = (
     "You have paid ETB {amount} for bill {ref}. New balance: ETB {balance}\nThank you",
 )
 BLANK = "  "
+#: Varied messages: a start, an amount, one of the parts by name, an end; hundreds of templates a bank.
+STARTS = (("Paid", "DEBIT"), ("You have received", "CREDIT"), ("Transferred", "DEBIT"), ("Account debited", "DEBIT"), ("Refund of", "CREDIT"), ("Purchase of", "DEBIT"), ("Reminder:", "NOTICE"))
+ENDS = {"F": "completed", "O": "pending"}
 
 
 def catalog(spark: SparkSession) -> Catalog:
@@ -75,6 +78,40 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(raw_messages(spark, sf_dir).where(F.trim("body") != ""), "seq")
 
 
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, address, body, date_ms): one message a line of an order, about the part that it sells."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus", "l_shipdate")  # noqa: E741
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    m = l.join(part, l["l_partkey"] == part["p_partkey"])
+    which, who = F.pmod("l_suppkey", F.lit(len(STARTS))), F.pmod("l_partkey", F.lit(len(SENDERS)))
+    start, sender, end = F, F, F
+    for i, (s, _) in enumerate(STARTS):
+        start = start.when(which == i, F.lit(s))
+    for i, s in enumerate(SENDERS):
+        sender = sender.when(who == i, F.lit(s))
+    for status, s in ENDS.items():
+        end = end.when(F.col("l_linestatus") == status, F.lit(s))
+    ref = F.concat(F.lit("FT"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit("K"))
+    body = F.concat(start, F.lit(" ETB "), F.format_number("l_extendedprice", 2), F.lit(" for "), "p_name", F.lit(" "), end, F.lit(", ref "), ref)
+    rows = m.select((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("seq"), sender.alias("address"), body.alias("body"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("date_ms"))
+    return spread(rows, "seq")
+
+
+def large_patterns() -> list[Pattern]:
+    """95 patterns: by start, kind of part and end; some ask for what a message lacks, some match what others do."""
+    kinds = "blue cold hot large new old red small".split()
+    out = []
+    for i in range(95):
+        (start, kind), end = STARTS[i % len(STARTS)], tuple(ENDS.values())[i // 7 % 2]
+        regex = rf"{start} ETB (?<amount>[\d,.]+) for {kinds[i % 8]} \w+ {end}, ref (?<reference>\w+)" if i % 5 else rf"{start} ETB (?<amount>[\d,.]+) for {kinds[i // 5 % 8]}(?: balance (?<balance>[\d.]+))?"
+        out.append(Pattern(1 + i % 4, regex, kind, f"pattern {i}", ref_required=i % 3 == 0 or None))
+    return out
+
+
+def large_catalog(spark: SparkSession) -> Catalog:
+    return Catalog.build(spark, catalogs.read_banks(str(FIXTURES / catalogs.FILES[0])), large_patterns())
+
+
 def kept(rows: DataFrame) -> DataFrame:
     """rows, kept while the session needs them. Several results read them, and the regular expressions should run once; a
     filter above a kept table isn't written into them either. What doesn't fit in memory goes to local disks, and what an

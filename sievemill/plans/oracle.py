@@ -90,16 +90,23 @@ def _hit(ord_: int, p: match.Pattern) -> str:
 
 
 _VALID = [(i, p) for i, p in enumerate(_patterns) if p.description != "Epsilon broken"]
-_PATS = "pats AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {p.bank_id}, {_q(p.sender_id)}, {_q(p.regex)}, {_q(p.type)}, {_q(p.description)})" for i, p in enumerate(_patterns)) + ") AS p(pattern_ord, bank_id, sender_id, regex, type, description))"
+def _pats(patterns: list[match.Pattern]) -> str:
+    return "pats AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {p.bank_id}, {_q(p.sender_id)}, {_q(p.regex)}, {_q(p.type)}, {_q(p.description)})" for i, p in enumerate(patterns)) + ") AS p(pattern_ord, bank_id, sender_id, regex, type, description))"
+
+
+_PATS = _pats(_patterns)
 _BANKS = "banks AS (SELECT * FROM (VALUES " + ", ".join(f"({b.id}, {_q(b.shown)})" for b in _banks) + ") AS b(id, shown))"
 _GATE = "CASE WHEN NOT amount_parsed THEN 'amountMissing' WHEN balance_expected AND NOT balance_captured THEN 'balanceMissing' WHEN ref_needed AND NOT ref_real THEN 'refMissing' WHEN account_needed AND account_expected AND NOT account_captured THEN 'accountMissing' ELSE 'none' END"
-_PARSED = ",\n".join(
+
+
+def _parsed(messages: str, pats: str, patterns: list[tuple[int, match.Pattern]]) -> str:
+    return ",\n".join(
     (
-        _MSGS,
-        _PATS,
+        messages,
+        pats,
         _BANKS,
         _SENT,
-        "h AS (" + "\nUNION ALL ".join(_hit(i, p) for i, p in _VALID) + ")",
+        "h AS (" + "\nUNION ALL ".join(_hit(i, p) for i, p in patterns) + ")",
         f"g AS (SELECT *, {_GATE} AS reason FROM h)",
         "best AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY seq ORDER BY reason <> 'none', ord) = 1)",
         "p AS (SELECT s.seq, s.body, s.clean, s.date_ms, best.seq IS NOT NULL AS matched, coalesce(best.bank_id, sender_bank) AS bank_id, shown AS bank_name, tx_type, pattern_desc, ord AS pattern_ord, reason, reason = 'none' AS accepted,"
@@ -107,6 +114,9 @@ _PARSED = ",\n".join(
         + " FROM s LEFT JOIN best USING (seq) LEFT JOIN banks ON id = coalesce(best.bank_id, sender_bank))",
     )
 )
+
+
+_PARSED = _parsed(_MSGS, _PATS, _VALID)
 _TEMPLATED = _PARSED + f",\nt AS (SELECT *, {normalize.sql('body', SPACES)} AS template FROM p)"
 _PLAIN = _MSGS + f",\nt AS (SELECT *, {normalize.sql('body', SPACES)} AS template FROM m)"
 _prio = lambda c, k: _case([(f"{c} >= {p[0]}", _q(p[k]) if k == 1 else str(p[k])) for p in PRIORITIES], "'Very Low'" if k == 1 else "1")
@@ -119,9 +129,12 @@ v AS (SELECT template, lemma AS verb, direction FROM w JOIN lex USING (form) QUA
 _MODE = """votes AS (SELECT matched, template, bank_id, count(*) AS n, min(seq) AS first_seq, any_value(bank_name) AS bank_name FROM t WHERE bank_id IS NOT NULL GROUP BY ALL),
 mode AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY matched, template ORDER BY n DESC, first_seq) = 1)"""
 _EX = f"ex AS (SELECT matched, template, {_trim('body')} AS body, row_number() OVER (PARTITION BY matched, template ORDER BY seq, body) AS k FROM t QUALIFY k <= {EXAMPLES})"
-_CLUSTERS = ",\n".join(
+
+
+def _clusters(templated: str) -> str:
+    return ",\n".join(
     (
-        _TEMPLATED,
+        templated,
         _LEX,
         _VERBS,
         _MODE,
@@ -132,14 +145,18 @@ _CLUSTERS = ",\n".join(
   FROM c0 LEFT JOIN mode USING (matched, template) LEFT JOIN v USING (template))""",
     )
 )
+
+
+_CLUSTERS = _clusters(_TEMPLATED)
 _LABEL = "CASE WHEN verb IS NULL THEN NULL WHEN direction = 'neutral' THEN upper(verb[1]) || verb[2:] || 's' ELSE upper(direction[1]) || direction[2:] || ' ' || verb || 's' END"
-_FAMILIES = _CLUSTERS + f""",
+_TO_FAMILIES = f""",
 k AS (SELECT *, coalesce(CAST(bank_id AS VARCHAR), '') || chr(1) || CASE WHEN verb IS NULL THEN 't:' || template ELSE 'v:' || verb || ':' || direction END AS family FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY stream, family ORDER BY occurrences DESC, template) AS place FROM k),
 fx AS (SELECT stream, family, body, min(place * 1000 + ex.k) AS o FROM r JOIN ex USING (matched, template) GROUP BY ALL),
 fe AS (SELECT stream, family, string_agg(body, ' ¶ ' ORDER BY o) AS examples FROM (SELECT * FROM fx QUALIFY row_number() OVER (PARTITION BY stream, family ORDER BY o) <= 6) GROUP BY ALL),
 f AS (SELECT stream, family, min_by(template, place) AS template, min_by(bank_id, place) AS bank_id, min_by(bank_name, place) FILTER (WHERE place = 1) AS bank_name, min_by(verb, place) FILTER (WHERE place = 1) AS verb, min_by(direction, place) FILTER (WHERE place = 1) AS direction,
   count(*) AS member_count, CAST(sum(occurrences) AS BIGINT) AS total, coalesce(string_agg(template, ' ¶ ' ORDER BY place) FILTER (WHERE place > 1), '') AS variants FROM r GROUP BY ALL)"""
+_FAMILIES = _CLUSTERS + _TO_FAMILIES
 _HCOUNTS = "count(*) AS members, count_if(accepted) AS accepted, " + ", ".join(f"count_if({c}) AS {c}" for c in match.FLAG_COLUMNS)
 _RATES = ", ".join(f"round({c} / members, 4) AS {c}_rate" for c in ("accepted", *match.FLAG_COLUMNS))
 _SCORE = f"CAST(round(round(accepted / members * ({WEIGHTS['type']} * type_valid / members + {WEIGHTS['balance']} * balance_parsed / members + {WEIGHTS['party']} * counterparty / members + {WEIGHTS['reference']} * ref_real / members + {WEIGHTS['account']} * (members - account_expected + account_captured) / members + {WEIGHTS['fees']} * (members - fees_expected + fees_captured) / members), 9)) AS INTEGER)"
@@ -152,6 +169,28 @@ _DOCS = "d AS (SELECT doc_id AS seq, source AS address, coalesce(text, '') AS bo
 _UNION = _MSGS + f",\n{_DOCS},\nu AS (SELECT 'documents' AS source, 0 AS o, seq, address, body FROM d UNION ALL SELECT 'messages', 1, seq, address, body FROM m UNION ALL SELECT 'again', 2, seq, address, body FROM m)"
 
 
+_VERB = _case([(f"l_suppkey % {len(M.STARTS)} = {i}", _q(v)) for i, (v, _) in enumerate(M.STARTS)], "NULL")
+_VARIED = f"""m AS (SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS seq, {_case([(f"l_partkey % {len(M.SENDERS)} = {i}", _q(v)) for i, v in enumerate(M.SENDERS)], "NULL")} AS address,
+  {_VERB} || ' ETB ' || format('{{:,.2f}}', l_extendedprice) || ' for ' || p_name || ' ' || {_case([(f"l_linestatus = {_q(k)}", _q(v)) for k, v in M.ENDS.items()], "NULL")} || ', ref FT' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || 'K' AS body,
+  CAST(epoch_ms(l_shipdate) AS BIGINT) AS date_ms FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_LARGE = _parsed(_VARIED, _pats(M.large_patterns()), list(enumerate(M.large_patterns())))
+_LARGE_CLUSTERS = _clusters(_LARGE + f",\nt AS (SELECT *, {normalize.sql('body', SPACES)} AS template FROM p)")
+#: What shapes.field_shapes says of the values in `capped`, one character after the other.
+_SHAPES = r"""vals AS (SELECT template, field, left(value, 512) AS v FROM capped), uniq AS (SELECT DISTINCT * FROM vals),
+st AS (SELECT template, field, count(*) AS samples, count(DISTINCT v) AS n_distinct, min(length(v)) AS low, max(length(v)) AS high, bool_or(regexp_matches(v, '[0-9]')) AS digit, bool_or(regexp_matches(v, '[A-Za-z]')) AS letter FROM vals GROUP BY ALL),
+tk AS (SELECT template, field, v, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT *, regexp_extract_all(v, '[0-9]+|[A-Za-z]+|[^0-9A-Za-z]') AS ts FROM uniq)),
+odd AS (SELECT template, field, string_agg(regexp_replace(t, '([\\^\]\-])', '\\\1'), '' ORDER BY t) AS literals FROM (SELECT DISTINCT template, field, t FROM tk WHERE NOT regexp_matches(t, '^[0-9A-Za-z]')) GROUP BY ALL),
+ns AS (SELECT *, CASE WHEN regexp_matches(t, '^[0-9A-Za-z]') OR t IS DISTINCT FROM lag(t) OVER (PARTITION BY template, field, v ORDER BY p) THEN 1 ELSE 0 END AS new FROM tk),
+rn AS (SELECT *, sum(new) OVER (PARTITION BY template, field, v ORDER BY p) AS r FROM ns),
+rs AS (SELECT template, field, v, r, sum(length(t)) AS n, min(t) AS t, CASE WHEN regexp_matches(min(t), '^[0-9]') THEN 'digit' WHEN regexp_matches(min(t), '^[A-Za-z]') THEN 'letter' ELSE 'L' || min(t)[1] END AS kind FROM rn GROUP BY ALL),
+sg AS (SELECT template, field, v, string_agg(kind, '|' ORDER BY r) AS sig FROM rs GROUP BY ALL),
+tn AS (SELECT template, field, sig, r, min(n) AS lo, max(n) AS hi, min(t) AS t FROM rs JOIN sg USING (template, field, v) GROUP BY ALL),
+al AS (SELECT template, field, sig, string_agg(CASE WHEN regexp_matches(t, '^[0-9]') THEN '\d' WHEN regexp_matches(t, '^[A-Za-z]') THEN '[A-Za-z]' ELSE regexp_replace(t[1], '([\\^$.|?*+()\[\]{}/])', '\\\1') END || CASE WHEN lo = 1 AND hi = 1 THEN '' WHEN lo = hi THEN '{' || lo || '}' ELSE '{' || lo || ',' || hi || '}' END, '' ORDER BY r) AS alt FROM tn GROUP BY ALL),
+an AS (SELECT template, field, count(*) AS n_structures, string_agg(alt, '|' ORDER BY alt) AS alts FROM al GROUP BY ALL),
+sh AS (SELECT *, '[' || CASE WHEN digit THEN '\d' ELSE '' END || CASE WHEN letter THEN 'A-Za-z' ELSE '' END || coalesce(literals, '') || ']' AS chars FROM st LEFT JOIN odd USING (template, field) LEFT JOIN an USING (template, field))
+SELECT template, field, CASE WHEN n_distinct < 3 THEN chars || '+' WHEN n_structures > 4 THEN chars || CASE WHEN low = 1 AND high = 1 THEN '' WHEN low = high THEN '{' || low || '}' ELSE '{' || low || ',' || high || '}' END WHEN n_structures = 1 THEN alts ELSE '(?:' || alts || ')' END AS regex, samples FROM sh"""
+
+
 def _spans() -> str:
     """Values of each rule: what the rule finds in the text that the rules before it made."""
     n = len(normalize.RULES)
@@ -190,7 +229,7 @@ def sql() -> dict[str, str]:
         "field_extraction": f"WITH {_PARSED} SELECT seq, {', '.join(match.FLAG_COLUMNS)} FROM p WHERE matched",
         "accept_gate": f"WITH {_PARSED} " + counted("p", "pattern_ord", "reason").replace(" GROUP", " WHERE matched GROUP"),
         "transaction_heuristic": f"WITH {_MSGS}, {_DOCS} SELECT 'message' AS kind, seq, {heuristic.sql('body')} AS transactional FROM m UNION ALL SELECT 'document', seq, {heuristic.sql('body')} FROM d",
-        "coverage_overall": f"WITH {_PARSED} SELECT count(*) AS total, count_if(matched) AS matched, count_if(coalesce(accepted, false)) AS app_accepted, count_if(NOT matched AND bank_id IS NULL) AS unattributed, count_if(matched) / count(*) * 100 AS coverage_pct FROM p",
+        "coverage_overall": f"WITH {_PARSED} SELECT count(*) AS total, count_if(matched) AS matched, count_if(coalesce(accepted, false)) AS app_accepted, count_if(NOT matched AND bank_id IS NULL) AS unattributed, count_if(body IS NULL) AS parse_errors, count_if(matched) / count(*) * 100 AS coverage_pct FROM p",
         "coverage_by_bank": f"WITH {_PARSED} SELECT bank_id, any_value(bank_name) AS bank_name, count(*) AS total, count_if(matched) AS matched, count_if(NOT matched) AS unmatched, count_if(matched) / count(*) * 100 AS coverage_pct FROM p WHERE bank_id IS NOT NULL GROUP BY bank_id",
         "largest_missing": f"WITH {_CLUSTERS} SELECT bank_id, template, occurrences, priority FROM c WHERE NOT matched AND bank_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY priority_rank DESC, occurrences DESC, template) = 1",
         "dataset_stats_type": f"WITH {_PARSED} SELECT coalesce(tx_type, 'UNKNOWN') AS tx_type, count(*) AS messages FROM p WHERE matched GROUP BY 1",
@@ -218,13 +257,30 @@ j AS (SELECT coalesce(a.bank_id, b.bank_id) AS bank_id, coalesce(a.description,
 SELECT CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'changed' END AS kind, bank_id, description, coalesce(o, '') AS old, coalesce(n, '') AS new FROM j WHERE o IS DISTINCT FROM n""",
         "patterns_per_bank": f"WITH {_PATS} SELECT bank_id, count(*) AS patterns FROM pats GROUP BY ALL",
         "ledger_delta": "WITH o AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS idx, count(*) AS pattern_count FROM orders GROUP BY 1), l AS (SELECT idx, 's' || CAST(pattern_count // 20 AS VARCHAR) AS signature, pattern_count FROM o), k AS (SELECT * FROM l QUALIFY lag(signature) OVER (ORDER BY idx) IS DISTINCT FROM signature) SELECT *, pattern_count - lag(pattern_count) OVER (ORDER BY idx) AS delta FROM k",
-        "lexicon_sync": f"WITH {_LEX} SELECT word FROM (VALUES ('credited'), ('teleported'), ('sent'), ('beamed'), ('pending')) AS x(word) WHERE word NOT IN (SELECT form FROM lex)",
+        "lexicon_sync": f"WITH {_LEX} SELECT word FROM (VALUES {', '.join(f'({_q(w)})' for w in (M.FIXTURES / 'words.txt').read_text().split())}) AS x(word) WHERE word NOT IN (SELECT form FROM lex)",
+        "catalog_table": f"WITH {_PATS} SELECT pattern_ord, bank_id, type, description, regex FROM pats",
+        "application_patterns": f"WITH {_PATS} SELECT pattern_ord, bank_id, sender_id, type, description FROM pats",
+        "rule_drift": "SELECT rule FROM (VALUES ('flags'), ('party')) AS r(rule)",
+        "json_containers": "SELECT conv_id * 1000 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role AS address, coalesce(text, '') AS body, conv_id * 1000 + turn AS date_ms, false AS malformed FROM conversations",
+        "chat_ingest": f"WITH {_MSGS}, x AS (SELECT row_number() OVER (PARTITION BY seq % 100 ORDER BY seq) - 1 AS seq, body FROM m WHERE starts_with(body, 'Dear ')) SELECT seq, 'ALPHA' AS address, count(*) AS messages, CAST(sum(length(body)) AS BIGINT) AS body_chars FROM x GROUP BY ALL",
+        "export_coverage_map": f"WITH {_PARSED} SELECT any_value(bank_name) AS bank_name, round(count_if(matched) / count(*) * 100, 2) AS percent FROM p WHERE bank_id IS NOT NULL GROUP BY bank_id",
+        "export_units_degraded": f"WITH {_FAMILIES} SELECT NULL AS normalized_text, NULL AS verb, NULL AS direction, total AS count, bank_name AS bank, false AS matched, true AS degraded FROM f WHERE stream IN ('attributed', 'candidate')",
+        "field_shapes": f"WITH {_MSGS}, {_SPANS.format(rows='m')}, {cap}, {_SHAPES}",
+        "varied_pattern_match": f"WITH {_LARGE} SELECT pattern_ord, bank_id, tx_type, count(*) AS messages, count_if(coalesce(accepted, false)) AS accepted FROM p GROUP BY ALL",
+        "varied_clusters": f"WITH {_LARGE_CLUSTERS} SELECT stream, template, bank_id, occurrences, priority, verb, direction FROM c",
+        "varied_examples": f"WITH {_LARGE_CLUSTERS} SELECT matched, template, string_agg(body, ' ¶ ' ORDER BY k) AS examples FROM ex GROUP BY ALL",
+        "varied_families_verb": f"WITH {_LARGE_CLUSTERS}{_TO_FAMILIES} SELECT stream, template, bank_id, verb, member_count, total, variants, examples FROM f JOIN fe USING (stream, family)",
+        "varied_families_levenshtein": _levenshtein(_LARGE_CLUSTERS, 0.85),
+        "varied_similar_pairs": f"WITH {_LARGE_CLUSTERS}, x AS (SELECT DISTINCT bank_id, template FROM c), y AS (SELECT a.bank_id, a.template AS a, b.template AS b, 1 - levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template)) AS z FROM x a JOIN x b ON a.bank_id IS NOT DISTINCT FROM b.bank_id AND a.template < b.template) SELECT bank_id, a, b, round(z, 6) AS similarity FROM y WHERE z >= 0.92",
+        "varied_largest_missing": f"WITH {_LARGE_CLUSTERS} SELECT bank_id, template, occurrences, priority FROM c WHERE NOT matched AND bank_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY priority_rank DESC, occurrences DESC, template) = 1",
         "export_units_unmatched": f"WITH {_FAMILIES} SELECT template AS normalized_text, verb, direction, total AS count, bank_name AS bank, false AS matched, false AS degraded FROM f WHERE stream IN ('attributed', 'candidate')",
         "export_units_success": f"WITH {_SUCCESS} SELECT template AS normalized_text, verb, direction, members AS count, bank_name AS bank, true AS matched, pattern_desc, app_accepted, health_score, {_RATES}, false AS degraded FROM su",
-        "export_metadata": f"WITH {_PARSED} SELECT count(*) AS total, count_if(matched) AS regex_matched, count_if(coalesce(accepted, false)) AS app_accepted, count_if(matched) - count_if(coalesce(accepted, false)) AS app_rejected, count_if(NOT matched) AS unparsed, round(count_if(matched) / count(*) * 100, 2) AS parsed_percent, CAST(0 AS BIGINT) AS parse_errors FROM p",
-        "quality_rollup": f"WITH {_MSGS} SELECT count(*) AS messages_loaded, count_if(length(body) > {normalize.MOST_CHARS}) AS normalization_truncated, CAST(0 AS BIGINT) AS dataset_malformed, CAST(0 AS BIGINT) AS dataset_empty_bodies, CAST({len(_patterns) - len(_VALID)} AS BIGINT) AS invalid_patterns, "
-        + ", ".join(f"CAST(0 AS BIGINT) AS {z}" for z in ("parse_errors", "clustering_skipped", "normalization_degraded", "units_redacted", "unit_errors", "field_shape_fallbacks"))
-        + f", count_if(length(body) > {normalize.MOST_CHARS}) = 0 AS clean FROM m",
+        "export_metadata": f"WITH {_PARSED} SELECT count(*) AS total, count_if(matched) AS regex_matched, count_if(coalesce(accepted, false)) AS app_accepted, count_if(matched) - count_if(coalesce(accepted, false)) AS app_rejected, count_if(NOT matched) AS unparsed, round(count_if(matched) / count(*) * 100, 2) AS parsed_percent, count_if(body IS NULL) AS parse_errors FROM p",
+        "quality_rollup": f"WITH {_FAMILIES} SELECT (SELECT count(*) FROM m) AS messages_loaded, (SELECT count_if(length(body) > {normalize.MOST_CHARS}) FROM m) AS normalization_truncated, CAST(0 AS BIGINT) AS dataset_malformed, (SELECT count_if({_trim('body')} = '') FROM raw) AS dataset_empty_bodies, "
+        + f"(SELECT count_if(body IS NULL) FROM m) AS parse_errors, CAST(0 AS BIGINT) AS clustering_skipped, CAST(0 AS BIGINT) AS normalization_degraded, (SELECT count(*) FROM f WHERE stream <> 'noise') AS units_exported, CAST(0 AS BIGINT) AS units_redacted, CAST(0 AS BIGINT) AS unit_errors, CAST(0 AS BIGINT) AS field_shape_fallbacks, CAST({len(_patterns) - len(_VALID)} AS BIGINT) AS invalid_patterns, true AS clean",
+        "quality_rollup_documents": f"WITH d AS (SELECT CASE WHEN doc_id % 97 <> 5 THEN text END AS body FROM documents) SELECT count(*) AS messages_loaded, CAST(0 AS BIGINT) AS dataset_malformed, count_if({_trim("coalesce(body, '')")} = '') AS dataset_empty_bodies, count_if(body IS NULL) AS parse_errors, count(*) AS normalization_degraded, count_if(length(body) > {normalize.MOST_CHARS}) AS normalization_truncated, count_if(body IS NULL) AS clustering_skipped, "
+        + ", ".join(f"CAST(0 AS BIGINT) AS {z}" for z in ("units_exported", "units_redacted", "unit_errors", "field_shape_fallbacks", "invalid_patterns"))
+        + ", false AS clean FROM d",
     }
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievemill.functions import heuristic, lexicon, normalize
 from sievemill.functions.regexes import spread, trimmed
 from sievemill.operators import baseline, cluster, corpus, coverage, export, families, health, shapes
-from sievemill.operators.match import FLAG_COLUMNS, sender_bank
+from sievemill.operators.match import FLAG_COLUMNS, parse, sender_bank
 from sievemill.plans import messages as M
 from sievemill.sources import catalog as catalogs
 from sievemill.sources import load
@@ -222,7 +222,7 @@ def families_levenshtein(spark, sf_dir):
 def _success(spark, sf_dir):
     """Success families by verb, with their counts of health and the pattern behind most of them."""
     rows = M.parsed_templates(spark, sf_dir)
-    members = families.by_verb(_clusters(spark, sf_dir).where("matched"))
+    members = M.kept(families.by_verb(_clusters(spark, sf_dir).where("matched")))
     f = families.families(members)
     own = members.select("template", "family")
     counts = health.merged(cluster.health_counts(rows).join(own, "template"), "family")
@@ -322,11 +322,75 @@ def ledger_delta(spark, sf_dir):
     return baseline.ledger_delta(log)
 
 
+def words() -> list[str]:
+    """Words that a lexicon of this trade should know, and some that it shouldn't."""
+    return (M.FIXTURES / "words.txt").read_text().split()
+
+
 @query
 def lexicon_sync(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in ("credited", "teleported", "sent", "beamed", "pending")], "word string")
+    table = spark.createDataFrame([(w,) for w in words()], "word string")
     forms = spark.createDataFrame([(f,) for _, _, f in lexicon.lexicon()], "word string")
-    return words.join(forms, "word", "left_anti")
+    return table.join(forms, "word", "left_anti")
+
+
+@query
+def catalog_table(spark, sf_dir):
+    return _current(spark).select("pattern_ord", "bank_id", "type", "description", "regex")
+
+
+@query
+def application_patterns(spark, sf_dir):
+    """The catalog as an application keeps it: all text, in any order, with rows of no bank."""
+    t = _current(spark).select(F.col("pattern_ord").alias("id"), F.col("bank_id").cast("string").alias("bankId"), F.col("sender_id").alias("senderId"), "regex", "type", "description")
+    extra = t.where("id = 0").withColumns({"id": F.lit(-1), "bankId": F.lit("x")})
+    return load.application_patterns(t.orderBy(F.rand(1)).union(extra)).select("pattern_ord", "bank_id", "sender_id", "type", "description")
+
+
+@query
+def rule_drift(spark, sf_dir):
+    """Which of the engine's rules differ from those a catalog was made with."""
+    now = baseline.own_rules()
+    then = {k: v for k, v in now.items() if k != "party"} | {"flags": "0"}
+    return spark.createDataFrame([(k,) for k in baseline.drifted(now, then)], "rule string")
+
+
+@query
+def json_containers(spark, sf_dir):
+    """A JSON text for each conversation: a list, an object with a list under either of two names, or a record per line."""
+    c = _table(spark, sf_dir, "conversations")
+    record = F.struct(F.col("role").alias("sender"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("timestamp"))
+    docs = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", record.alias("r")))), lambda x: x["r"]).alias("rs"))
+    kind, rs = F.pmod("conv_id", F.lit(4)), F.col("rs")
+    text = F.when(kind == 0, F.to_json("rs")).when(kind == 1, F.to_json(F.struct(rs.alias("messages")))).when(kind == 2, F.to_json(F.struct(F.lit(7).alias("data"), rs.alias("items")))).otherwise(F.array_join(F.transform(rs, lambda r: F.to_json(r)), "\n"))
+    records = load.records_of(docs.select("conv_id", text.alias("value")), key="conv_id")
+    return load.mapped(records.select((F.col("conv_id") * 1000 + F.col("seq")).alias("seq"), "record")).select("seq", "address", "body", "date_ms", "malformed")
+
+
+@query
+def chat_ingest(spark, sf_dir):
+    """Messages pasted from a chat, a hundred chats of them."""
+    m = M.messages(spark, sf_dir).where(F.startswith("body", F.lit("Dear ")))
+    line = F.concat(F.lit("[1/2/24, 10:00] Ann: "), F.col("body"))
+    chats = m.groupBy(F.pmod("seq", F.lit(100)).alias("chat")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return load.chat_messages(chats, "Dear", "ALPHA").groupBy("seq", "address").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("body")).alias("body_chars"))
+
+
+@query
+def export_coverage_map(spark, sf_dir):
+    return coverage.by_bank(M.parsed(spark, sf_dir)).select("bank_name", F.round("coverage_pct", 2).alias("percent"))
+
+
+#: A rule that no engine takes: what is normalized with it is degraded.
+BROKEN = normalize.Rule("CODE", "(", "(", "<CODE>", "<CODE>", "(", 1)
+
+
+@query
+def export_units_degraded(spark, sf_dir):
+    """Units of messages of which a rule failed keep their counts and lose their content."""
+    rows = M.kept(normalize.with_template(M.parsed(spark, sf_dir), "body", rules=(*normalize.RULES, BROKEN)))
+    c = coverage.with_stream(cluster.clusters(rows))
+    return export.unmatched_units(families.families(families.by_verb(c), "stream")).drop("stream")
 
 
 @query
@@ -346,4 +410,58 @@ def export_metadata(spark, sf_dir):
 
 @query
 def quality_rollup(spark, sf_dir):
-    return coverage.quality(M.messages(spark, sf_dir), invalid_patterns=M.catalog(spark).invalid)
+    units = export.unmatched_units(_families(spark, sf_dir)).select("normalized_text", "degraded").union(export.success_units(_success(spark, sf_dir)).select("normalized_text", "degraded"))
+    found = shapes.field_shapes(_spans(spark, sf_dir), "template")
+    return coverage.quality(M.raw_messages(spark, sf_dir), M.parsed_templates(spark, sf_dir), units, found, M.catalog(spark).invalid)
+
+
+@query
+def quality_rollup_documents(spark, sf_dir):
+    """Documents taken as messages, some null, blank or long, normalized with a rule that fails."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("address"), F.when(F.pmod("doc_id", F.lit(97)) != 5, F.col("text")).alias("body"))
+    rows = parse(spread(d, "seq"), M.catalog(spark))
+    return coverage.quality(d, normalize.with_template(rows, "body", rules=(*normalize.RULES, BROKEN)))
+
+
+def _varied(spark, sf_dir):
+    """Clusters of the varied messages under the large catalog."""
+    rows = M.kept(normalize.with_template(parse(M.varied(spark, sf_dir), M.large_catalog(spark)), "body"))
+    return M.kept(coverage.with_stream(cluster.clusters(rows)))
+
+
+@query
+def varied_pattern_match(spark, sf_dir):
+    rows = parse(M.varied(spark, sf_dir), M.large_catalog(spark))
+    return rows.groupBy("pattern_ord", "bank_id", "tx_type").agg(F.count(F.lit(1)).alias("messages"), F.count_if("extraction.accepted").alias("accepted"))
+
+
+@query
+def varied_clusters(spark, sf_dir):
+    return _varied(spark, sf_dir).select("stream", "template", "bank_id", "occurrences", "priority", "verb", "direction")
+
+
+@query
+def varied_examples(spark, sf_dir):
+    return _varied(spark, sf_dir).select("matched", "template", F.array_join("examples", " ¶ ").alias("examples"))
+
+
+@query
+def varied_families_verb(spark, sf_dir):
+    f = families.families(families.by_verb(_varied(spark, sf_dir)), "stream")
+    return f.select("stream", "template", "bank_id", "verb", "member_count", "total", F.array_join("variants", " ¶ ").alias("variants"), F.array_join("examples", " ¶ ").alias("examples"))
+
+
+@query
+def varied_families_levenshtein(spark, sf_dir):
+    f = families.families(families.by_distance(_varied(spark, sf_dir), 0.85), "stream")
+    return f.select("stream", "template", "bank_id", "member_count", "total")
+
+
+@query
+def varied_similar_pairs(spark, sf_dir):
+    return families.similar_pairs(_varied(spark, sf_dir).select("bank_id", "template"), 0.92)
+
+
+@query
+def varied_largest_missing(spark, sf_dir):
+    return coverage.largest_missing(_varied(spark, sf_dir))

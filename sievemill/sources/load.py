@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions.regexes import some, squeezed, trimmed
@@ -39,17 +39,35 @@ def _split(rows: DataFrame, source: str) -> Loaded:
     return Loaded(kept, rows.agg(F.count_if("malformed").alias("dataset_malformed"), F.count_if("empty").alias("dataset_empty_bodies")))
 
 
+def records_of(docs: DataFrame, text: str = "value", key: str | None = None) -> DataFrame:
+    """(key, seq, record) of JSON texts, each a list of records, an object with a list of them, or a record per line."""
+    doc = docs.withColumn("v", F.try_parse_json(text))
+    lists = [F.try_variant_get("v", "$", "array<variant>"), *(F.try_variant_get("v", f"$.{c}", "array<variant>") for c in CONTAINERS)]
+    doc = doc.withColumn("list", F.coalesce(*lists))
+    own = [key] * bool(key)
+    whole = doc.where("list is not null").select(*own, F.posexplode("list").alias("seq", "r")).select(*own, "seq", F.to_json("r").alias("record"))
+    lines = doc.where("list is null").select(*own, F.posexplode(F.split(text, "\r?\n")).alias("seq", "record")).where(trimmed(F.col("record")) != "")
+    return whole.union(lines).withColumn("seq", F.col("seq").cast("long"))
+
+
+def is_document(spark: SparkSession, path: str) -> bool:
+    """Whether the file is one JSON value: its first characters open one, and its first line doesn't close it as a record of lines does.
+
+    Only the beginning is read."""
+    head = spark.read.format("text").load(path).where(trimmed(F.col("value")) != "").select(trimmed(F.col("value")).alias("v"))
+    first = head.select("v", F.try_parse_json("v").isNotNull().alias("whole"), F.schema_of_variant(F.try_parse_json("v")).alias("kind"), *(F.try_variant_get(F.try_parse_json("v"), f"$.{c}", "array<variant>").isNotNull().alias(c) for c in CONTAINERS)).first()
+    if first is None or not first.v.startswith(("{", "[")):
+        return False
+    return not first.whole or first.kind.startswith("ARRAY") or any(first[c] for c in CONTAINERS)
+
+
 def load_json(spark: SparkSession, path: str, source: str | None = None) -> Loaded:
     """A JSON array of records, an object with a list of them, or a record per line; what fits none is skipped and counted.
 
-    A document is one value and read whole, as its format demands; for much data use lines (load_lines)."""
-    doc = spark.read.text(path, wholetext=True).withColumn("v", F.try_parse_json("value"))
-    lists = [F.try_variant_get("v", "$", "array<variant>"), *(F.try_variant_get("v", f"$.{c}", "array<variant>") for c in CONTAINERS)]
-    doc = doc.withColumn("list", F.coalesce(*lists))
-    whole = doc.where("list is not null").select(F.posexplode("list").alias("seq", "r")).select("seq", F.to_json("r").alias("record"))
-    lines = doc.where("list is null").select(F.posexplode(F.split("value", "\r?\n")).alias("seq", "record")).where(trimmed(F.col("record")) != "")
-    rows = mapped(whole.union(lines).select(F.col("seq").cast("long").alias("seq"), "record"))
-    return _split(rows, source or path)
+    Lines are read in parallel, whatever the size of the files. A document is one value and read whole, as its format demands."""
+    if not is_document(spark, path):
+        return load_lines(spark, path, source)
+    return _split(mapped(records_of(spark.read.text(path, wholetext=True))), source or path)
 
 
 def load_lines(spark: SparkSession, path: str, source: str | None = None) -> Loaded:
@@ -97,3 +115,14 @@ def failed_parses(rows: DataFrame) -> DataFrame:
     """An application's table of failed parses, read through any source, as messages."""
     out = rows.select(F.col("address").cast("string").alias("address"), F.coalesce(F.col("body").cast("string"), F.lit("")).alias("body"), F.col("date").try_cast("long").alias("date_ms"))
     return out.where(trimmed(F.col("body")) != "")
+
+
+def application_patterns(rows: DataFrame) -> DataFrame:
+    """An application's table of live patterns, read through any source, as a catalog's table; rows without a bank go.
+
+    Patterns keep the table's order: by id, if there is one, else by bank, description and expression."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = [F.col("id")] if "id" in rows.columns else ["bank_id", "description", "regex"]
+    out = rows.select(*[F.col(c) for c in rows.columns if c == "id"], F.col("bankId").try_cast("int").alias("bank_id"), F.col("senderId").cast("string").alias("sender_id"), text("regex").alias("regex"), text("type").alias("type"), text("description").alias("description")).where("bank_id is not null")
+    ranked = out.withColumn("pattern_ord", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))  # a catalog, not a corpus
+    return ranked.select("pattern_ord", "bank_id", "sender_id", "regex", "type", "description")

@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill.functions import normalize
 from sievemill.functions.normalize import with_template
-from sievemill.operators import baseline, cluster, corpus, coverage, families, health
+from sievemill.operators import baseline, cluster, corpus, coverage, export, families, health
 from sievemill.operators.match import Bank, Catalog, Pattern, parse
 from sievemill.plans import report
 from sievemill.sources import catalog as catalogs
@@ -78,6 +80,106 @@ def test_verb_families_partition_and_never_cross_banks(spark):
     assert sum(r.total for r in refined) == 12 and len(refined) == 5
 
 
+def test_distance_families_keep_streams_apart(spark):
+    """One template in two streams is two members; a success template doesn't join what is unmatched."""
+    near = ["Paid <AMOUNT> for a loan", "Paid <AMOUNT> for a moan", "Paid <AMOUNT> for a moat"]
+    rows = [(near[0], 9, 1, "success"), (near[0], 5, 1, "attributed"), (near[1], 8, 1, "success"), (near[2], 4, 1, "attributed"), (near[1], 3, None, "candidate"), (near[1], 2, 2, "attributed")]
+    c = clusters_of(spark, [(t, n, b, "pay", "outgoing") for t, n, b, _ in rows])
+    streams = spark.createDataFrame([(t, n, s) for t, n, _, s in rows], "template string, occurrences long, stream string")
+    c = c.join(streams, ["template", "occurrences"]).withColumn("matched", F.col("stream") == "success")
+    for within in (False, True):
+        f = families.families(families.by_distance(c, 0.95, within), "stream").collect()
+        got = sorted((r.stream, r.template, r.bank_id or 0, r.member_count, r.total) for r in f)
+        assert got == [("attributed", near[0], 1, 1, 5), ("attributed", near[1], 2, 1, 2), ("attributed", near[2], 1, 1, 4), ("candidate", near[1], 0, 1, 3), ("success", near[0], 1, 2, 17)]
+    plain = families.families(families.by_distance(c.drop("stream"), 0.95)).collect()
+    assert sum(r.total for r in plain) == 31 and {r.total for r in plain if r.template == near[0]} == {5, 17}
+
+
+def test_edit_distance_is_exact():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abé") for _ in range(rng.randrange(12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        for most in (0, 1, 2, 5, 20):
+            got = families.edit_distance(a, b, most)
+            assert got == row[-1] if row[-1] <= most else got > most
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = {"".join(rng.choice("ab ") for _ in range(rng.randrange(3, 14))) for _ in range(60)} | {"", "a"}
+    c = spark.createDataFrame([(rng.choice((1, 2, None)), t) for t in sorted(texts)], "bank_id int, template string")
+    rows = c.collect()
+    for threshold in (0.5, 0.75, 0.9):
+        expected = set()
+        for r in rows:
+            for q in rows:
+                n = max(len(r.template), len(q.template))
+                if r.bank_id == q.bank_id and r.template < q.template and n and 1 - families.edit_distance(r.template, q.template, n) / n >= threshold:
+                    expected.add((r.bank_id, r.template, q.template))
+        got = families.similar_pairs(c, threshold).collect()
+        assert {(r.bank_id, r.a, r.b) for r in got} == expected and len(got) == len(expected) > 3
+
+
+BROKEN = normalize.Rule("CODE", "(", "(", "<CODE>", "<CODE>", "(", 1)
+
+
+def test_degraded_units_hold_no_content(spark):
+    """A rule that fails leaves values in a template; such a unit keeps its counts only, and the counters say so."""
+    cat = Catalog.build(spark, [Bank(1, "One", codes=("one",))], [Pattern(1, r"paid ETB (?<amount>[\d.]+)", "DEBIT", "paid")])
+    m = spark.createDataFrame([(1, "one", "Transferred RAWNAME ETB 5", None), (2, "one", None, None), (3, "one", "paid ETB 7 RAWNAME", None)], MESSAGES)
+    for normal in (normalize.with_template, normalize.with_spans):
+        rows = normal(parse(m, cat), "body", rules=(*normalize.RULES, BROKEN))
+        assert {r.degraded for r in rows.collect()} == {True}
+        c = coverage.with_stream(cluster.clusters(rows))
+        f = families.families(families.by_verb(c), "stream")
+        units = export.unmatched_units(f)
+        (u,) = units.collect()
+        assert (u.normalized_text, u.verb, u["count"], u.bank, u.degraded) == (None, None, 1, "One", True)
+        doc = export.document({}, [u.asDict()], [])
+        assert doc["unmatchedUnits"][0]["redacted"] and "RAWNAME" not in json.dumps(doc)
+        q = coverage.quality(m, rows, units).first()
+        assert (q.normalization_degraded, q.units_redacted, q.units_exported, q.parse_errors, q.clustering_skipped, q.dataset_empty_bodies, q.messages_loaded, q.clean) == (3, 1, 0, 1, 1, 1, 3, False)
+    good = normalize.with_template(parse(m.where("seq <> 2"), cat), "body")
+    assert coverage.quality(m.where("seq <> 2"), good).first().clean and not good.first().degraded
+
+
+def test_parse_counts_messages_without_a_body(spark):
+    cat = Catalog.build(spark, [Bank(1, "One", codes=("one",))], [Pattern(1, "x", "DEBIT", "x")])
+    rows = parse(spark.createDataFrame([(1, "one", None, None), (2, "one", "x", None)], MESSAGES), cat)
+    o = coverage.overall(rows).first()
+    assert (o.total, o.matched, o.parse_errors) == (2, 1, 1) and export.message_totals(coverage.overall(rows)).first().parse_errors == 1
+
+
+def test_fingerprints_tell_rows_apart(spark):
+    def of(*rows):
+        return corpus.fingerprint(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()["id"]
+
+    odd = [("x\u0001y", "z"), ("x", "y\u0001z"), (None, "x"), ("", "x"), ("-", "x"), ("1:x", ""), ("", "1:x"), ("x", None), (None, None), ("", "")]
+    assert len({of(r) for r in odd}) == len(odd) and of(*odd) == of(*reversed(odd), odd[0])
+
+
+def test_application_tables(spark):
+    p = spark.createDataFrame([("2", None, "b", "T", "second", 2), ("1", "S", "a", "T", "first", 1), (None, "S", "c", "T", "none", 3), ("x", "S", "c", "T", "none", 4)], "bankId string, senderId string, regex string, type string, description string, id int")
+    assert [tuple(r) for r in load.application_patterns(p).orderBy("pattern_ord").collect()] == [(0, 1, "S", "a", "T", "first"), (1, 2, None, "b", "T", "second")]
+    f = spark.createDataFrame([("s", "b", "5"), ("s", " ", "6"), (None, "c", "x")], "address string, body string, date string")
+    assert [tuple(r) for r in load.failed_parses(f).collect()] == [("s", "b", 5), (None, "c", None)]
+
+
+def test_lines_are_read_in_parallel(spark, tmp_path):
+    """Records per line aren't read as one value; documents are, also those over several lines."""
+    for name, text, whole in (("l", '{"body": "a"}\n{"body": "b"}', False), ("a", '[{"body": "a"},\n {"body": "b"}]', True), ("o", '{"sms": [{"body": "a"}, {"body": "b"}]}', True), ("p", '{\n"data": [{"body": "a"}, {"body": "b"}]}', True), ("e", "\n \n", False), ("t", "body\nmore", False)):
+        (tmp_path / name).write_text(text)
+        assert load.is_document(spark, str(tmp_path / name)) is whole, name
+        if name in "laop":
+            assert [r.body for r in load.load_json(spark, str(tmp_path / name)).messages.orderBy("seq").collect()] == ["a", "b"]
+
+
 def test_clusters_vote_and_order(spark):
     rows = [(i, "s", f"Paid ETB {i} now", None, i % 2 == 0, {0: 7, 1: 8}.get(i % 2), "n", None, None) for i in range(8)]
     df = spark.createDataFrame(rows, "seq long, address string, body string, date_ms long, matched boolean, bank_id int, bank_name string, pattern_desc string, tx_type string")
