@@ -10,7 +10,8 @@ Texts whose words are the same are one class and compared once. Classes that sha
 Whole signatures decide those that agree far more or far less than the threshold; pairs within MARGIN of it are decided
 by the exact similarity of all their shingles. A band that many classes share is cut into tiles of two blocks each, spread over
 tasks, so no task holds it whole; a pair is counted in the first band it shares. Tasks return counts and a
-spanning forest of their links, and of the pairs only those near the threshold."""
+spanning forest of their links, never the pairs: classes that are near the threshold to some other one come back with
+the band they share, and get a second pass over that band with their shingles, in tiles of so many bytes."""
 
 from __future__ import annotations
 
@@ -31,8 +32,8 @@ REGISTERS = BANDS * ROWS
 MARGIN = 0.18
 #: Keys of classes to decide are sent to tasks as so many bits at most.
 KEY_BITS = 20
-#: Classes of one block of a band.
-BLOCK = 2048
+#: Classes of one block of a band; bytes of shingles of one block, and rows sent at once, where shingles are compared.
+BLOCK, BLOCK_BYTES, ROWS_AT_ONCE = 2048, 8 << 20, 1000
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -139,13 +140,25 @@ def shingle_sets(part: Texts, bits: np.ndarray) -> tuple[list[int], list[bytes]]
     return whole[named].view(np.int64).tolist(), [s[a:b].tobytes() + w[a:b].tobytes() for a, b in zip(lo, hi)]
 
 
+def _unpacked(shingles: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(shingles) // 12
+    return np.frombuffer(shingles, np.uint64, n), np.frombuffer(shingles, np.uint32, n, 8 * n).astype(np.float64)
+
+
 def similarity(one: bytes, other: bytes) -> float:
     """Probability Jaccard similarity of two sets of weighted shingles."""
-    n, m = len(one) // 12, len(other) // 12
-    _, i, j = np.intersect1d(np.frombuffer(one, np.uint64, n), np.frombuffer(other, np.uint64, m), assume_unique=True, return_indices=True)
+    return _similarity(_unpacked(one), _unpacked(other))
+
+
+def _similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
+    (g, v), (h, w) = one, other
+    if len(g) > len(h):
+        g, v, h, w = h, w, g, v
+    j = np.minimum(np.searchsorted(h, g), max(len(h) - 1, 0))
+    i = np.flatnonzero(h[j] == g) if len(h) else j[:0]
+    j = j[i]
     if not len(i):
         return 0.0
-    v, w = np.frombuffer(one, np.uint32, n, 8 * n).astype(np.float64), np.frombuffer(other, np.uint32, m, 8 * m).astype(np.float64)
     order = np.argsort(v[i] / w[j], kind="stable")
     x, y = v[i][order], w[j][order]
     # of max(x_j / x_i, y_j / y_i) the first is larger from i on in the order of x / y, the second before
@@ -194,7 +207,10 @@ def _links(tile: np.ndarray, band: np.ndarray, block: np.ndarray, mixed: np.ndar
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b]), np.concatenate([none.astype(bool), *found_sure])
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, exact: bool = False):
+    """Rows (key, root, n) of counted links, and (key, null, null, bucket, band) of classes that are near the threshold to another; if exact,
+    only links among those, by their shingles."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
@@ -202,20 +218,28 @@ def _compare(threshold: float):
             if not table.num_rows:
                 return
             col = lambda c: table[c].to_numpy()
-            key, band, block = col("key"), col("band").astype(int), col("block")
-            tile = keyed(_mix(col("bucket").view(np.uint64) + np.uint64(1)), (col("i").astype(np.int64) << 32) + col("j"))
+            key, band, block, bucket = col("key"), col("band").astype(int), col("block"), col("bucket")
+            tile = keyed(_mix(bucket.view(np.uint64) + np.uint64(1)), (col("i").astype(np.int64) << 32) + col("j"))
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(key), REGISTERS)
             a, b, sure = _links(tile, band, block, col("i") != col("j"), sig, threshold)
-            if not sure.all():
-                open_a, open_b = key[a[~sure]], key[b[~sure]]
-                yield pa.RecordBatch.from_arrays([pa.array(open_a), pa.array(open_b), pa.nulls(len(open_a), pa.int64())], ["key", "root", "n"])
+            if exact:
+                a, b = a[~sure], b[~sure]
+                sets: dict[int, tuple[np.ndarray, np.ndarray]] = {r: _unpacked(table["shingles"][r].as_buffer()) for r in np.unique(np.concatenate([a, b])).tolist()}
+                alike = np.array([_similarity(sets[x], sets[y]) >= threshold - 1e-9 for x, y in zip(a.tolist(), b.tolist())], bool)
+                a, b = a[alike], b[alike]
+            else:
+                near = np.unique(np.concatenate([a[~sure], b[~sure]]))
+                if len(near):
+                    none = pa.nulls(len(near), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(key[near]), none, none, pa.array(bucket[near]), pa.array(band[near].astype(np.int32))], LINKS)
                 a, b = a[sure], b[sure]
             if len(a):
                 keys, place = np.unique(key, return_inverse=True)
                 count = np.bincount(place[a], minlength=len(keys)) + np.bincount(place[b], minlength=len(keys))
                 root = _roots(len(keys), place[a], place[b])
                 linked = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[linked]), pa.array(keys[root[linked]]), pa.array(count[linked].astype(np.int64))], ["key", "root", "n"])
+                none = pa.nulls(len(linked), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[linked]), pa.array(keys[root[linked]]), pa.array(count[linked].astype(np.int64)), none, none.cast(pa.int32())], LINKS)
 
         for batch in batches:
             if not batch.num_rows:
@@ -235,12 +259,33 @@ def _compare(threshold: float):
     return rows
 
 
-def _decided(d: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame | None:
-    """(key, root, n) of those pairs (key, root) of classes whose exact similarity is at least the threshold; None if there are none to
-    decide. The texts, d, are read once more; only shingles of classes in pairs are shuffled, once for each pair."""
+LINKS = ["key", "root", "n", "bucket", "band"]
+
+
+def _compared(members: DataFrame, classes: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
+    """Links of members (bucket, band, key, blocks): each bucket's classes in `blocks` blocks, compared block by block."""
+    members = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("bucket", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tiles = members.join(classes, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    links = tiles.mapInArrow(_compare(threshold, exact), "key long, root long, n long, bucket long, band int")
+    if not exact:
+        return stored(links, "counts")
+    conf, name = members.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, ROWS_AT_ONCE)
+    try:
+        return stored(links, "decided")
+    finally:
+        conf.set(name, before)
+
+
+def _decided(d: DataFrame, near: DataFrame, classes: DataFrame, threshold: float) -> DataFrame | None:
+    """(key, root, n) of links among classes near the threshold (bucket, band, key), by exact similarity; None if there are no such classes. The
+    texts, d, are read once more; shingles are shuffled once for each bucket that a class is near another in, and block of it."""
+    near = stored(near.distinct(), "near")
     mask = (1 << KEY_BITS) - 1
-    named = pairs.select("key").union(pairs.select("root")).distinct()
-    low = named.select(F.col("key").bitwiseAND(F.lit(mask)).alias("low")).distinct().toArrow()["low"].to_numpy()
+    low = near.select(F.col("key").bitwiseAND(F.lit(mask)).alias("low")).distinct().toArrow()["low"].to_numpy()
     if not len(low):
         return None
     bits = np.zeros(mask + 1, bool)
@@ -253,18 +298,13 @@ def _decided(d: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame | No
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "shingles"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [similarity(x.as_buffer(), y.as_buffer()) >= threshold - 1e-9 for x, y in zip(batch.column("one"), batch.column("other"))]
-            a, b = (batch.column(c).to_numpy()[np.array(alike, bool)] for c in ("key", "root"))
-            root = np.minimum(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[root, root]), pa.array(np.ones(2 * len(a), np.int64))], ["key", "root", "n"])
-
+    named = near.select("key").distinct()
     whole = d.select("text").mapInArrow(sets, "key long, shingles binary").join(named, "key", "left_semi")
-    whole = stored(whole.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "shingles")
-    both = pairs.join(whole.withColumnRenamed("shingles", "one"), "key")
-    both = both.join(whole.select(F.col("key").alias("root"), F.col("shingles").alias("other")), "root").select("key", "root", "one", "other")
-    return stored(both.mapInArrow(rows, "key long, root long, n long"), "decided")
+    whole = stored(whole.groupBy("key").agg(F.any_value("shingles").alias("shingles")).join(classes, "key"), "shingles")
+    weighed = stored(near.join(whole.select("key", F.octet_length("shingles").cast("long").alias("bytes")), "key"), "near")
+    per = stored(weighed.groupBy("bucket").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("size")), "bands")
+    members = joined(weighed, per, "bucket", "size", weighed.count()).withColumn("blocks", F.ceil(F.col("total") / BLOCK_BYTES).cast("int"))
+    return _compared(members, whole, threshold, exact=True)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -317,14 +357,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = classes.where("sig is not null").select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = joined(bands, stored(shared, "bands"), "bucket", "size", BANDS * classes.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("bucket", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tiles = members.join(classes.select("key", "sig"), "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    links = stored(tiles.mapInArrow(_compare(threshold), "key long, root long, n long"), "counts")
-    decided = _decided(d, links.where("n is null").select("key", "root"), threshold)
-    links = links.where("n is not null")
-    links = links if decided is None else links.union(decided)
+    links = _compared(members, classes.select("key", "sig"), threshold)
+    decided = _decided(d, links.where("n is null").select("bucket", "band", "key"), classes.select("key", "sig"), threshold)
+    links = links.where("n is not null").select("key", "root", "n")
+    links = links if decided is None else links.union(decided.select("key", "root", "n"))
     group = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     known = classes.drop("sig").join(links.groupBy("key").agg(F.sum("n").alias("n_links")), "key", "left").join(group, "key", "left")
     known = stored(known.withColumn("root", F.coalesce("root", "key")), "known")

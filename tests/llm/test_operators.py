@@ -437,10 +437,20 @@ def test_tiles_count_each_pair_once(spark, monkeypatch):
     rng = random.Random(2)
     base = words(rng, 80, 10**6)
     data = [(i, " ".join(base[: 80 - i % 4] + [f"q{i}"]), "a") for i in range(40)]
+    # a second group, of which many pairs are near the threshold
+    other = words(rng, 90, 10**6)
+    near = [(100 + i, " ".join(other[:60] + words(rng, 24 + i % 9, 10**6)), "a") for i in range(30)]
+    sets = [Counter(tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)) for _, t, _ in near]
+    exact = {100 + i: sum(_jaccard(x, y) >= 0.5 for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)}
+    data += near
     whole = {r.doc_id: (r.n_links, r.group_id) for r in near_duplicates(frame(spark, data)).collect()}
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(near_dedup, "ROWS_AT_ONCE", 9)
     cut = {r.doc_id: (r.n_links, r.group_id) for r in near_duplicates(frame(spark, data)).collect()}
-    assert whole == cut and all(n == 39 and g == 0 for n, g in whole.values())
+    assert whole == cut and all(n == 39 and g == 0 for i, (n, g) in whole.items() if i < 100)
+    assert 0 < sum(exact.values()) < 30 * 29
+    assert sum(abs(whole[i][0] - n) for i, n in exact.items()) <= 0.02 * sum(exact.values()) and all(whole[i][0] <= n for i, n in exact.items())
 
 
 def test_links_are_found_at_every_similarity(spark):
