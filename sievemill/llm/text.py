@@ -13,8 +13,10 @@ import pyarrow.compute as pc
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
-#: Bytes of text handled at once: what numpy makes of them stays near the processor.
-SLICE = 1 << 20
+#: Bytes of text handled at once: what numpy makes of them stays near the processor, and small in a worker's memory.
+SLICE = (1 << 19) - 1
+#: Powers of a base that are kept; more, for a longer text, are made and forgotten.
+KEPT_POWERS = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,11 +36,14 @@ class Powers:
         self.up = self.down = np.ones(1, np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
-        return self.up, self.down
+        up, down = self.up, self.down
+        while len(up) < n:
+            k = len(up)
+            up = np.concatenate([up, up * np.uint64(pow(self.base, k, 1 << 64))])
+            down = np.concatenate([down, down * np.uint64(pow(self.inverse, k, 1 << 64))])
+            if len(up) <= KEPT_POWERS:
+                self.up, self.down = up, down
+        return up, down
 
 
 class Hasher:
