@@ -53,13 +53,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Paths in the shared folder that the session's application has been given and that aren't deleted."""
+    return [p for p, app in _made.items() if app == spark.sparkContext.applicationId]
+
+
+def discard(spark: SparkSession, paths: set[str]) -> None:
+    """Delete those of the paths that are still there."""
+    for path in paths & set(written(spark)):
+        _delete(spark, path)
+
+
 def release(spark: SparkSession, *keep: DataFrame) -> None:
     """Delete all that this process's operators wrote to the shared folder for the session's application, but for the tables to keep.
 
     To be called once results are written: they are read from there until then."""
     left = {df.stored_at for df in keep}
-    for path in [p for p, app in _made.items() if app == spark.sparkContext.applicationId and p not in left]:
-        _delete(spark, path)
+    discard(spark, set(written(spark)) - left)
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, copies: str, total: int, how: str = "inner") -> DataFrame:
