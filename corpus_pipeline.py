@@ -8,6 +8,7 @@ express the stages' models and hashes; the tests hold each against brute force."
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +19,35 @@ from sievemill.llm.mixing import mix
 from sievemill.llm.near_dedup import near_duplicates
 from sievemill.llm.pii import redact
 from sievemill.llm.quality_classifier import quality_scores
-from sievemill.llm.shared import joined, release, stored
+from sievemill.llm.shared import discard, joined, release, stored, written
 
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Name of the rows' own key within a stage.
 ROW = "__row"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, null and repeated ids included; written, so that the key stays the row's."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+#: What the stage before wrote on its way, by application.
+_left: dict[str, set[str]] = {}
+
+
+def _keyed(stage: Stage) -> Stage:
+    """A stage whose docs have a key of each row, null and repeated ids included; written, so that the key stays the row's.
+
+    Once they are written, nothing reads what the stage before wrote on its way, and it is deleted."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app, before = spark.sparkContext.applicationId, set(written(spark))
+        docs = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+        discard(spark, _left.pop(app, set()))
+        out = stage(spark, docs, sf_dir)
+        _left[app] = set(written(spark)) - before
+        return out
+
+    return run_stage
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -39,28 +57,28 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
 
 
+@_keyed
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier scores below 0.5. Equal texts have equal scores, so they go or stay together; without labels
     all scores are 0.5 and all stay."""
-    docs = _keyed(docs)
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
     return _without(docs, scores.where("predicted = 0"))
 
 
+@_keyed
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents keep one row: that with the smallest id, of equal ids the first; a null id is last.
 
     Rows that repeat each other are a group, so are all texts without words."""
-    docs = _keyed(docs)
     groups = near_duplicates(docs, ROW).join(docs.select(F.col(ROW).alias("r"), F.col("doc_id")), F.col(ROW) == F.col("r"))
     groups = stored(groups.select(ROW, "group_id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW).alias("rank")), "groups")
     best = groups.groupBy("group_id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return _without(docs, joined(groups, best, "group_id", "n", groups.count()).where(f"{ROW} <> best.{ROW}"))
 
 
+@_keyed
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage, also one whose item has no id. An item without words is in no document."""
-    docs = _keyed(docs)
     return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW))
 
 
@@ -69,18 +87,18 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_keyed
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, with their texts, of which the mix takes words, and how many (taken; more than size where the mix repeats).
 
     Documents of which it takes none go, among them all without words. Rows with a null source are a source of their own. size,
     source_size, target and taken replace columns of these names."""
-    docs = _keyed(docs)
     found = ("size", "source_size", "target", "taken")
     taken = mix(docs, row_col=ROW).where("taken > 0").select(F.col(ROW).alias("__taken_row"), *found)
     return docs.drop(*found).join(taken, F.col(ROW) == F.col("__taken_row")).drop(ROW, "__taken_row")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_classifier),
     ("near duplicates", minhash_near_dedup),
     ("benchmark decontamination", decontamination),
