@@ -70,7 +70,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of similar documents keep one row: that with the smallest id, of equal ids the first; a null id is last.
 
     Rows that repeat each other are a group, so are all texts without words."""
-    groups = near_duplicates(docs, ROW).join(docs.select(F.col(ROW).alias("r"), F.col("doc_id")), F.col(ROW) == F.col("r"))
+    groups = near_duplicates(docs, ROW, counted=False).join(docs.select(F.col(ROW).alias("r"), F.col("doc_id")), F.col(ROW) == F.col("r"))
     groups = stored(groups.select(ROW, "group_id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW).alias("rank")), "groups")
     best = groups.groupBy("group_id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return _without(docs, joined(groups, best, "group_id", "n", groups.count()).where(f"{ROW} <> best.{ROW}"))

@@ -474,6 +474,71 @@ def test_links_are_found_at_every_similarity(spark):
         assert sum(got[i] for i in of) >= len(of) - max(1, 0.01 * len(of)) if low >= 0.5 else not any(got[i] for i in of), low
 
 
+def _one_band(n, seed):
+    """Texts of a few families, some with repeated words, that all share the first band: signatures and sets of shingles."""
+    rng = random.Random(seed)
+    said = []
+    for i in range(n):
+        base = random.Random(f"{seed} {i % 5}")
+        w = words(base, 110, 10**6)
+        keep = rng.randrange(60, 110)
+        said.append(" ".join(w[:keep] + words(rng, 110 - keep, 10**6) + ["x y z"] * (i % 3)))
+    part = texts(pa.array(said))
+    key, _, sig = near_dedup.signatures(part)
+    sig[:, : near_dedup.ROWS] = 7
+    keys, sets = near_dedup.shingle_sets(part, np.ones(1 << near_dedup.KEY_BITS, bool))
+    by = dict(zip(keys, sets))
+    return sig, [by[k] for k in key.view(np.int64).tolist()]
+
+
+@pytest.mark.parametrize("n", [12, 150])
+@pytest.mark.parametrize("two", [False, True])
+def test_groups_are_those_of_all_links(n, two):
+    """Tiles of few and many rows, of one block and of two: groups by what isn't left out are those by every pair."""
+    sig, sets = _one_band(n, 3)
+    none, block = np.zeros(n, np.int64), np.arange(n) % 2
+    tile = (none, none, block, np.full(n, two), sig)
+    a, b, sure = near_dedup._links(*tile, 0.5)
+    link = sure | np.array([near_dedup.similarity(sets[x], sets[y]) >= 0.5 - 1e-9 for x, y in zip(a, b)])
+    expected = near_dedup._roots(n, a[link], b[link])
+    assert n < 100 or (1 < len(np.unique(expected)) and 0 < (~sure & link).sum() < (~sure).sum())
+    group, near = near_dedup._grouped(*tile, 0.5)
+    assert n < 100 or near.any()
+    at = np.flatnonzero(near)
+    one, other = near_dedup._bridges(*(x[at] for x in tile), pa.chunked_array([pa.array([sets[i] for i in at], pa.binary())]), group[at], 0.5)
+    got = near_dedup._roots(n, np.r_[np.arange(n), one], np.r_[group, other])
+    assert np.array_equal(got, expected)
+
+
+def test_decisions_grow_with_the_rows_of_a_group(monkeypatch):
+    """In a band that holds one family only as many pairs are decided as there are rows, not as there are pairs."""
+    rng = random.Random(6)
+    n, base = 400, words(rng, 100, 10**6)
+    part = texts(pa.array([" ".join(base[:72] + words(rng, 28, 10**6)) for _ in range(n)]))  # about 0.55 for each pair
+    _, _, sig = near_dedup.signatures(part)
+    sig[:, : near_dedup.ROWS] = 7
+    _, sets = near_dedup.shingle_sets(part, np.ones(1 << near_dedup.KEY_BITS, bool))
+    decided = []
+    alike = near_dedup._Sets.alike
+    monkeypatch.setattr(near_dedup._Sets, "alike", lambda self, p, others, threshold: decided.append(len(others)) or alike(self, p, others, threshold))
+    none = np.zeros(n, np.int64)
+    one, _ = near_dedup._bridges(none, none, none, none.astype(bool), sig, pa.chunked_array([pa.array(sets, pa.binary())]), np.arange(n), 0.5)
+    assert len(one) == n - 1 and sum(decided) <= 4 * n
+
+
+def test_groups_without_numbers_of_links(spark):
+    """The query's groups are those of the operator that counts links."""
+    rng = random.Random(12)
+    base = words(rng, 90, 10**6)
+    data = [(i, " ".join(base[: 90 - i % 40] + words(rng, i % 40, 10**6)), "a") for i in range(90)] + [(200 + i, " ".join(words(rng, 40, 10**6)), "b") for i in range(20)] + [(None, " ".join(base), "c"), (500, None, "c")]
+    counted = near_duplicates(frame(spark, data))
+    got = near_duplicates(frame(spark, data), counted=False)
+    assert got.columns == [c for c in counted.columns if c != "n_links"]
+    said = lambda df: sorted(map(str, df.select(*got.columns).collect()))
+    assert said(got) == said(counted)
+    assert near_duplicates(frame(spark, []), counted=False).count() == 0
+
+
 def test_components_with_a_hub(spark, monkeypatch):
     """A member that most links name is joined without a shuffle, and tables that are no longer read are deleted."""
     monkeypatch.setattr(shared, "HOT", 3)
