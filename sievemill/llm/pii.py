@@ -3,9 +3,9 @@
 Patterns give the base spans. A linear-chain conditional random field over word shapes, trained on a small
 labelled table made by `labelled_words`, adds what the patterns don't know: numbers that run into one
 another, phone numbers without a country code, keys and tokens, identity and account numbers. Its labels decide; no pattern
-has to agree. Only words with a digit or an at sign can be personal data
-here, so every other word is labelled "other" beforehand; such a word makes the chain's two sides independent, and
-Viterbi over the stretches between such words finds the best labelling of the whole text."""
+has to agree. Every word is labelled, one of letters only like any other. What a word looks like is worked out once for each
+distinct word, and words that are "other" on every best path, whatever their neighbours are, cut the chain: Viterbi
+over the stretches between them finds the best labelling of the whole text."""
 
 from __future__ import annotations
 
@@ -120,9 +120,8 @@ def base_spans(part: Texts) -> list[tuple[int, int, int, int]]:
 
 
 def eligible(part: Texts, words: Words) -> np.ndarray:
-    """Words that hold a digit or an at sign."""
-    hit = np.flatnonzero(DIGIT[part.buf] | (part.buf == ord("@")))
-    return np.unique(np.searchsorted(words.starts, hit, "right") - 1)
+    """Words that may be personal data: all."""
+    return np.arange(len(words))
 
 
 _GROUPS = ((3, 4), (3, 3, 4), (4, 4, 4, 4), (3, 2, 4), (2, 3, 3), (3, 3, 3))
@@ -141,6 +140,9 @@ def _shape(w: bytes) -> tuple:
     parts = tuple(len(x) for x in re.split(rb"[-.]", core.strip(b"()"))) if size < 40 and not letters else ()
     one = core.isalnum() and letters
     hexed = size >= 24 and all(c in b"0123456789abcdefABCDEF" for c in core)
+    # letters in no order: unlike in names of many words, capitals stand close together
+    mixed = not n and size >= 16 and not core.isupper() and len(re.findall(rb"[A-Z](?=[A-Z]|[a-z][A-Z])", core[:64])) >= 3
+    capital = not n and size >= 20 and one and core.isupper()
     changes = sum((48 <= x <= 57) != (48 <= y <= 57) for x, y in zip(core[:64], core[1:64]))
     tagged = re.match(rb"[A-Za-z]{2,6}[_-]", core) is not None
     return (
@@ -150,16 +152,61 @@ def _shape(w: bytes) -> tuple:
         plain and 12 <= n <= 19 and luhn(digits), b":" in core or b"/" in core or b"=" in core, size < len(w),
         hexed, one and size >= 16, one and size >= 16 and n < 4, one and size >= 16 and core.isupper(), one and size >= 16 and not core.isupper() and not core.islower(), changes >= 5 and size >= 12, tagged and size >= 16,
         re.fullmatch(rb"[A-Z]{2}\d{2}[A-Z0-9]{0,30}", core) is not None and size <= 34, one and 6 <= size <= 12 and core.isupper(), size > 40, dots == 3 and len(parts) == 4 and all(0 < x <= 3 for x in parts) and all(map(_octet, core.split(b"."))),
-        n >= 9 and not letters and not plain, size > 0 and w[:1] in b"\"'" and w[-1:] in b"\"'",
+        n >= 9 and not letters and not plain, mixed and one, mixed and tagged, capital, not n and size >= 16 and not mixed and not capital, size > 0 and w[:1] in b"\"'" and w[-1:] in b"\"'",
     )
 
 
 SHAPES = len(_shape(b""))
 
 
-def _shapes(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Shape features of each span of bytes."""
-    return np.array([_shape(buf[s:e].tobytes()) for s, e in zip(lo.tolist(), hi.tolist())], np.float64).reshape(-1, SHAPES)
+#: Numbers of what words look like (shape and cue), by word and by look.
+_look_of: dict[bytes, int] = {}
+_number: dict[tuple, int] = {}
+_plain: dict[tuple, int] = {}
+_HIGH = bytes(range(128, 256))
+#: Words whose looks are kept, and their length at most.
+KEPT_WORDS, KEPT_LENGTH = 1 << 17, 48
+
+
+def _look(w: bytes) -> int:
+    """Number of a word's look, which is kept."""
+    core, kind = w.strip(_MARKS), None
+    if len(core) < 16 and core.translate(None, _HIGH).isalpha():
+        # letters only: of the shape only this varies
+        plain = core.isalpha()
+        kind = (_CUE.get(core.lower(), -1) if len(w) < 24 else -1, plain, plain and 6 <= len(core) <= 12 and core.isupper(), len(core) < len(w), w[:1] in b"\"'" and w[-1:] in b"\"'")
+    look = _plain.get(kind)
+    if look is None:
+        cue = _CUE.get(w.lower().strip(_MARKS + b"()"), -1) if len(w) < 24 else -1
+        look = _number.setdefault((cue, tuple(map(bool, _shape(w)))), len(_number))
+        if kind is not None:
+            _plain[kind] = look
+    if len(w) <= KEPT_LENGTH:
+        if len(_look_of) >= KEPT_WORDS:
+            _look_of.clear()
+        _look_of[w] = look
+    return look
+
+
+def _looks(part: Texts, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's look; of each look the shape features, and which kind it announces or -1."""
+    buf = part.buf.tobytes()
+    said = [buf[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())]
+    look = np.array([_look(w) if k is None else k for w, k in zip(said, map(_look_of.get, said))], np.int64)
+    # many texts have few looks: number those that occur here
+    found, look = np.unique(look, return_inverse=True) if len(look) else (look, look)
+    kept = list(_number)
+    kept = [kept[k] for k in found.tolist()]
+    return look, np.array([x for _, x in kept], np.float64).reshape(-1, SHAPES), np.array([c for c, _ in kept], np.int64)
+
+
+def _announced(cue: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each word whether one of the three before it in its text announces each kind."""
+    out = np.zeros((len(cue), len(_CUES)))
+    for back in (1, 2, 3):
+        at = np.flatnonzero((cue[:-back] >= 0) & (of[:-back] == of[back:]))
+        out[at + back, cue[at]] = 1
+    return out
 
 
 def word_features(part: Texts, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,32 +214,82 @@ def word_features(part: Texts, words: Words, at: np.ndarray) -> tuple[np.ndarray
     stretches."""
     of = words.text_of
     n = len(words)
-    near = np.unique(np.concatenate([at, at[(at > 0)] - 1, at[at < n - 1] + 1])) if len(at) else at
-    shape = _shapes(part.buf, words.starts[near], words.ends[near])
-    place = np.searchsorted(near, at)
+    look, shape, cue = _looks(part, words)
 
     def beside(step: int) -> np.ndarray:
         out = np.zeros((len(at), shape.shape[1]))
         to = at + step
         ok = (to >= 0) & (to < n)
         ok[ok] = of[to[ok]] == of[at[ok]]
-        out[ok] = shape[np.searchsorted(near, to[ok])]
+        out[ok] = shape[look[to[ok]]]
         return out
 
     starts = np.ones(len(at), bool)
     starts[1:] = (np.diff(at) > 1) | (of[at[1:]] != of[at[:-1]])
     lengths = np.diff(np.r_[np.flatnonzero(starts), len(at)])
     last = np.r_[starts[1:], True] if len(at) else starts
-    # the three words before a stretch, or inside it before a word
-    cues = np.zeros((len(at), 4))
-    first = words.offs[:-1]
-    for i, k in enumerate(at.tolist()):
-        for j in range(max(k - 3, int(first[of[k]])), k):
-            if words.ends[j] - words.starts[j] < 24:
-                cue = _CUE.get(part.buf[words.starts[j] : words.ends[j]].tobytes().lower().strip(_MARKS + b"()"))
-                if cue is not None:
-                    cues[i, cue] = 1
-    return np.hstack([shape[place], beside(-1), beside(1), cues, starts[:, None], last[:, None]]), lengths
+    cues = _announced(cue[look], of)[at]
+    return np.hstack([shape[look[at]], beside(-1), beside(1), cues, starts[:, None], last[:, None]]), lengths
+
+
+def emissions(part: Texts, words: Words, model: crf.Crf) -> tuple[np.ndarray, np.ndarray]:
+    """What word_features of all words make of the model's weights: for each word the row, and the rows, one for each surrounding that occurs."""
+    look, shape, cue = _looks(part, words)
+    of, n = words.text_of, len(shape) + 1
+    same = np.r_[False, of[1:] == of[:-1], False]
+    # a word's surroundings as one number: looks before it, its own and after it, from 1 on, and what is announced
+    before, after = np.r_[0, look[:-1] + 1] * same[:-1], np.r_[look[1:] + 1, 0] * same[1:]
+    told = np.flatnonzero(cue[look] >= 0)
+    said = np.zeros(len(look), np.int64)
+    near = np.unique((told[:, None] + np.arange(1, 4)).ravel())
+    near = near[near < len(look)]
+    said[near] = _announced(cue[look], of)[near] @ (1 << np.arange(len(_CUES))) if len(near) else 0
+    found, row = np.unique(((before * n + look) * n + after) * (1 << len(_CUES)) + said, return_inverse=True)
+    found, said = np.divmod(found, 1 << len(_CUES))
+    found, after = np.divmod(found, n)
+    before, own = np.divmod(found, n)
+    w = np.split(model.emit, np.cumsum([SHAPES, SHAPES, SHAPES, len(_CUES), 1]))
+    none = np.zeros((1, LABELS))
+    e = (shape @ w[0])[own] + np.vstack([none, shape @ w[1]])[before] + np.vstack([none, shape @ w[2]])[after]
+    e += (said[:, None] >> np.arange(len(_CUES)) & 1) @ w[3] + (before == 0)[:, None] * w[4] + (after == 0)[:, None] * w[5]
+    return row, e
+
+
+def labels(part: Texts, words: Words, model: crf.Crf) -> np.ndarray:
+    """The best label of every word."""
+    out = np.zeros(len(words), np.int8)
+    if not len(words):
+        return out
+    (row, e), of = emissions(part, words, model), words.text_of
+    move, begin = model.move + model.forbidden, model.begin + model.forbidden_first
+    follows = np.r_[False, of[1:] == of[:-1]]
+    goes_on = np.r_[follows[1:], False]
+    # The least that a path gains if a word's label becomes 0, whatever stands beside it. If the next word is inside the same span, it then begins one.
+    free = np.r_[0, 1 + 2 * np.arange(len(KINDS))]
+    alone, with_next = np.full(len(e), np.inf), np.full((len(e), len(KINDS)), np.inf)
+    for k in range(1, LABELS):
+        kind = (k - 1) // 2
+        b, i = 1 + 2 * kind, 2 + 2 * kind
+        left = [move[a, 0] - move[a, k] for a in range(LABELS) if move[a, k] > -1e5] + [begin[0] - begin[k]] * bool(begin[k] > -1e5)
+        gain = e[:, 0] - e[:, k] + min(left)
+        np.minimum(alone, gain + min(0, (move[0, free] - move[k, free]).min()), out=alone)
+        right = min(0, min(move[b, c] - move[i, c] for c in range(LABELS) if move[i, c] > -1e5))
+        np.minimum(with_next[:, kind], gain + move[0, b] - move[k, i] + right, out=with_next[:, kind])
+    begun = e[:, 1::2] - e[:, 2::2]
+    open_ = (alone < 1e-6)[row]
+    open_[:-1] |= goes_on[:-1] & ((with_next[row[:-1]] + begun[row[1:]]).min(1) < 1e-6)
+    at = np.flatnonzero(open_)
+    if not len(at):
+        return out
+    x = e[row[at]]
+    first = np.r_[True, (np.diff(at) > 1) | (of[at[1:]] != of[at[:-1]])]
+    last = np.r_[first[1:], True]
+    # a stretch lies between words labelled 0, or at an end of its text
+    x[first & follows[at]] += move[0]
+    x[first & ~follows[at]] += begin
+    x[last & goes_on[at]] += move[:, 0]
+    out[at] = crf.viterbi(x, np.diff(np.r_[np.flatnonzero(first), len(at)]), move, np.zeros(LABELS))
+    return out
 
 
 def labelled_words(seed: int = 9, n: int = 1100) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -219,11 +316,12 @@ def labelled_words(seed: int = 9, n: int = 1100) -> list[tuple[str, list[tuple[i
 
     hexa = lambda k: some(k, "0123456789abcdef")
     wide = lambda k: some(k, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    letters = lambda k: some(k, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
     caps = lambda k: some(k, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     pick = lambda xs: xs[rng.integers(len(xs))]
 
     def secret() -> str:
-        key = pick((lambda: "AKIA" + some(16, "ABCDEFGHIJKLMNOP234567"), lambda: hexa(int(pick((32, 40, 40, 64)))), lambda: f"{pick(('ghp', 'sk', 'pk', 'xoxb', 'glpat'))}{pick('_-')}{wide(int(rng.integers(20, 40)))}", lambda: wide(int(rng.integers(20, 44)))))()
+        key = pick((lambda: "AKIA" + some(16, "ABCDEFGHIJKLMNOP234567"), lambda: hexa(int(pick((32, 40, 40, 64)))), lambda: f"{pick(('ghp', 'sk', 'pk', 'xoxb', 'glpat'))}{pick('_-')}{wide(int(rng.integers(20, 40)))}", lambda: wide(int(rng.integers(20, 44))), lambda: letters(int(rng.integers(20, 44))), lambda: f"{pick(('ghp', 'sk', 'pk', 'xoxb', 'glpat'))}{pick('_-')}{letters(int(rng.integers(20, 40)))}", lambda: caps(int(rng.integers(20, 40)))))()
         return pick((f'"{key}"', f"'{key}'", key, key))
 
     def identity() -> str:
@@ -244,6 +342,12 @@ def labelled_words(seed: int = 9, n: int = 1100) -> list[tuple[str, list[tuple[i
         lambda: str(rng.integers(1900, 2100)), lambda: num(int(rng.integers(1, 9))), bad_card, lambda: f"20{num(2)}-0{rng.integers(1, 9)}-{rng.integers(10, 28)}", lambda: f"{rng.integers(0, 23)}:{num(2)}",
         lambda: f"{num(2)}.{num(2)}", lambda: f"{rng.integers(1, 9)}.{num(1)}.{num(1)}", lambda: f"{some(5)}{num(3)}", lambda: f"{num(3)}-{num(3)}", lambda: "commit " + hexa(40), lambda: "sha1 " + hexa(40), lambda: "md5 " + hexa(32), lambda: f"{caps(2)}{num(2)}", lambda: f"{caps(3)}-{num(3)}", lambda: f"http://{some(6)}.example/{some(4)}/{num(6)}", lambda: f"{some(4)}{num(2)}{some(3)}",
         lambda: num(int(rng.integers(9, 12))), lambda: num(int(rng.integers(20, 26))), lambda: f"{rng.integers(256, 999)}.{num(2)}.{num(2)}.{num(2)}", lambda: f"@{some(5)}", lambda: f"{num(4)} {num(4)}", lambda: num(3) + " " + num(3), lambda: f"({num(1)})", lambda: f"+{num(2)}%", lambda: f"{num(4)}/{num(2)}", lambda: f"{num(1)},{num(3)}.{num(2)}", lambda: f"${num(2)}.{num(2)}", lambda: f"{pick(('card', 'key', 'phone', 'id', 'account'))} {num(2)}", lambda: f"{num(2)}-{num(2)}-{num(4)}",
+    )
+    #: words without a digit that look like keys, names of things and the like
+    lettered = (
+        lambda: some(int(rng.integers(10, 40))), lambda: some(int(rng.integers(1, 12))).title(), lambda: some(int(rng.integers(12, 36))).title(), lambda: caps(int(rng.integers(1, 12))), lambda: caps(int(rng.integers(12, 20))), lambda: "".join(some(int(rng.integers(3, 9))).title() for _ in range(rng.integers(2, 6))), lambda: pick("_-").join(some(int(rng.integers(2, 9))) for _ in range(rng.integers(2, 7))), lambda: "_".join(caps(int(rng.integers(3, 9))) for _ in range(rng.integers(2, 5))),
+        lambda: f"https://www.{some(int(rng.integers(4, 12)))}.example/{some(int(rng.integers(4, 20)))}/{some(5)}-{some(8)}", lambda: f"www.{some(9)}.example", lambda: f"{some(6)}.{some(2)}", lambda: f'"{some(int(rng.integers(2, 10)))}"', lambda: f"'{some(int(rng.integers(2, 10))).title()}'", lambda: f"({some(int(rng.integers(2, 9)))})", lambda: pick(("--", "***", "...", "&", "=>", "+", "#" * int(rng.integers(1, 30)), "=" * int(rng.integers(3, 60)), "-" * int(rng.integers(3, 60)))),
+        lambda: "é".join(some(int(rng.integers(1, 12))) for _ in range(2)), lambda: "字" * int(rng.integers(1, 30)), lambda: pick(" ".join(_CUES).split()), lambda: pick(("token", "key", "secret", "password", "api", "phone", "id", "card")) + " " + some(int(rng.integers(2, 12))), lambda: f"{some(5)}:{some(6)}", lambda: f"{some(5)}={some(7)}", lambda: f"{some(4)}/{some(6)}", lambda: f"<{some(3)}>",
     )
     table = []
     for _ in range(n):
@@ -252,8 +356,10 @@ def labelled_words(seed: int = 9, n: int = 1100) -> list[tuple[str, list[tuple[i
             r = rng.random()
             if r < 0.35:
                 out += [some(rng.integers(1, 9)) + ("", "", "", ".", ",")[rng.integers(5)] for _ in range(rng.integers(1, 4))]
-            elif r < 0.6:
+            elif r < 0.5:
                 out += other[rng.integers(len(other))]().split(" ")
+            elif r < 0.65:
+                out += lettered[rng.integers(len(lettered))]().split(" ")
             else:
                 kind = int(rng.integers(len(make)))
                 words = make[kind]().split(" ")
@@ -292,23 +398,17 @@ def trained() -> crf.Crf:
 def added_spans(part: Texts, model: crf.Crf, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """What the model labels and no base span overlaps."""
     buf, words = part.buf, part.words()
-    at = eligible(part, words)
-    if not len(at):
-        return []
-    x, lengths = word_features(part, words, at)
-    y = model.decode(x, lengths)
-    of = words.text_of
+    y, of = labels(part, words, model), words.text_of
     taken = sorted((a, b) for _, _, a, b in base)
     lefts = np.array([a for a, _ in taken])
-    found, i, n = [], 0, len(at)
-    while i < n:
-        if y[i] == 0:
-            i += 1
+    found, j, n = [], 0, len(words)
+    for i in np.flatnonzero(y).tolist():
+        if i < j:
             continue
         kind, j = (int(y[i]) - 1) // 2, i + 1
-        while j < n and y[j] == 2 + 2 * kind and at[j] == at[j - 1] + 1 and of[at[j]] == of[at[i]]:
+        while j < n and y[j] == 2 + 2 * kind and of[j] == of[i]:
             j += 1
-        lo, hi = int(words.starts[at[i]]), int(words.ends[at[j - 1]])
+        lo, hi = int(words.starts[i]), int(words.ends[j - 1])
         # of the words only what may belong to the data: no quotes, stops or names before an equals sign
         edge = _ASCII_WORD | _class("+(") if kind == KINDS.index("phone") else _ASCII_WORD
         if kind == KINDS.index("secret"):
@@ -320,8 +420,7 @@ def added_spans(part: Texts, model: crf.Crf, base: list[tuple[int, int, int, int
         k = int(np.searchsorted(lefts, lo, "right"))
         free = not (k and taken[k - 1][1] > lo) and not (k < len(taken) and taken[k][0] < hi)
         if free and lo < hi:
-            found.append((int(of[at[i]]), kind, lo, hi))
-        i = j
+            found.append((int(of[i]), kind, lo, hi))
     return found
 
 

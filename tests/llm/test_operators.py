@@ -237,6 +237,33 @@ def test_pii_beyond_the_patterns(spark):
     assert got == {i: spans for i, (_, spans) in said.items()}
 
 
+def test_pii_looks_at_every_word(spark):
+    """Keys of letters only are found, and every word's label is that of the model over whole texts; words of letters stay."""
+    said = {
+        1: ('set token = "QhzRtYkPwMnBvCxZaSdFgHjKlQ" here', [("secret", "QhzRtYkPwMnBvCxZaSdFgHjKlQ")]),
+        2: ("the api key: ghp_hTrWqPzLkMnXbVcYdSfGaJuEoIrT was pushed", [("secret", "ghp_hTrWqPzLkMnXbVcYdSfGaJuEoIrT")]),
+        3: ("secret XQWZKJHVBTRMPLYDNGCFSA in the log", [("secret", "XQWZKJHVBTRMPLYDNGCFSA")]),
+        4: ("Die Donaudampfschifffahrtsgesellschaft hat DREI Key words, a token and OneCamelCaseName of IMPORTANT_CONSTANT_NAMES.", []),
+        5: ('see https://www.example.org/some/page-of-words for "secret" passwords and state-of-the-art access', []),
+    }
+    got = {r.doc_id: [(s.kind, said[r.doc_id][0][s.start : s.end]) for s in r.spans] for r in pii.find(spark.createDataFrame([(i, t) for i, (t, _) in said.items()], "doc_id long, text string")).collect()}
+    assert got == {i: spans for i, (_, spans) in said.items()}
+
+
+def test_pii_labels_are_the_best_of_the_whole_chain():
+    """Leaving out words that are certainly no personal data changes no label, nor does taking looks once."""
+    rng = random.Random(13)
+    some = [" ".join("".join(rng.choice("aBé1.-@+\"'=(") for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(60))) for _ in range(60)]
+    part = texts(pa.array([t for t, _ in pii.labelled_words(3, 200)] + some + ["", "w " * 3000]))
+    words_, model = part.words(), pii.trained()
+    x, lengths = pii.word_features(part, words_, pii.eligible(part, words_))
+    assert len(x) == len(words_) and np.array_equal(model.decode(x, lengths), pii.labels(part, words_, model))
+    for w in ("word", "WORDS,", '"Key"', "Éa", "token:", "(a)", "WORDWORDWORDWORD", "é", "'SECRET'", "abcdefghijklmno"):
+        pii._look_of.clear(), pii._plain.clear()
+        k = pii._look(w.encode())
+        assert list(pii._number)[k][1] == tuple(map(bool, pii._shape(w.encode()))) and pii._look(w.encode()) == k
+
+
 def test_pii_time_grows_with_the_text():
     took = []
     for n in (20000, 80000):
