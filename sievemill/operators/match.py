@@ -1,7 +1,8 @@
 """Matching messages against a catalog of per-sender patterns, and simulating what an application extracts.
 
 The catalog is small and is compiled into the plan: each pattern is a branch with literal expressions, so the JVM
-compiles each expression once, a message runs only its own sender's patterns, and no join or shuffle is needed."""
+compiles each expression once, a message runs only its own sender's patterns, and of these only those whose fixed words it
+holds; no join or shuffle is needed."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.functions.regexes import ascii_edges, compiles, once, positional, some, trimmed
+from sievemill.functions.regexes import ascii_edges, compiles, literals, once, positional, some, trimmed
 
 FLAGS = "(?ims)"
 FLAG_COLUMNS = ("type_valid", "amount_parsed", "balance_expected", "balance_captured", "balance_parsed", "counterparty", "ref_real", "ref_synth", "account_expected", "account_captured", "fees_expected", "fees_captured")
@@ -94,16 +95,21 @@ def _token(value: str) -> str:
 
 def sender_bank(address: Column, banks: list[Bank]) -> Column:
     """Id of the first bank with a code that the sender's token holds; null without one."""
-    out: Column | None = None
-    norm = token(address)
-    for b in banks:
-        codes = [c for c in map(_token, b.codes) if c]
-        if codes:
-            hit = F.contains(norm, F.lit(codes[0]))
-            for c in codes[1:]:
-                hit = hit | F.contains(norm, F.lit(c))
-            out = F.when(hit, F.lit(b.id)) if out is None else out.when(hit, F.lit(b.id))
-    return F.lit(None).cast("int") if out is None else out
+    codes = {b.id: [c for c in map(_token, b.codes) if c] for b in banks}
+
+    def first(norm: Column) -> Column:
+        out = F
+        for bank, cs in codes.items():
+            if cs:
+                hit = F.contains(norm, F.lit(cs[0]))
+                for c in cs[1:]:
+                    hit = hit | F.contains(norm, F.lit(c))
+                out = out.when(hit, F.lit(bank))
+        return out
+
+    if not any(codes.values()):
+        return F.lit(None).cast("int")
+    return F.get(F.transform(F.array(token(address)), first), F.lit(0))  # the token is made once, not once a code
 
 
 def clean_number(value: Column) -> Column:
@@ -123,11 +129,19 @@ def masked_account(value: Column, bank: Bank | None) -> Column:
     return value
 
 
-def searched_party(body: Column) -> Column:
-    """A counterparty from the text itself: each search's first match, unless it is the reader's own account."""
+def _holds(low: Column, texts: tuple[str, ...]) -> Column:
+    """Whether a text in lower case holds all of some."""
+    out = F.lit(True)
+    for t in texts:
+        out = out & F.contains(low, F.lit(t))
+    return out
+
+
+def searched_party(body: Column, low: Column) -> Column:
+    """A counterparty from the text itself (low: in lower case): each search's first match, unless it is the reader's own account."""
     tries = []
     for search in PARTY_SEARCHES:
-        v = some(trimmed(F.regexp_extract(body, search, 1)))
+        v = F.when(_holds(low, literals(search)), some(trimmed(F.regexp_extract(body, search, 1))))
         low = F.lower(v)
         own = F.contains(low, F.lit(OWN[0]))
         for o in OWN[1:]:
@@ -196,17 +210,20 @@ def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: st
     the struct extraction (accepted, reason and flags; null if unmatched). Of the patterns that match, the first whose extraction is accepted wins, else the first. A
     sender whose bank has patterns is matched against those, any other sender against all."""
     with_patterns = [b.id for b in catalog.banks if any(p.bank_id == b.id for p in catalog.patterns)]
-    clean = F.col("_clean")
+    clean, low = F.col("_clean"), F.col("_low")
     df = messages.withColumn("_clean", trimmed(F.col(body))).withColumn("sender_bank", sender_bank(F.col(address), catalog.banks))
     df = df.withColumn("_scope", F.when(F.col("sender_bank").isin(with_patterns), F.col("sender_bank")) if with_patterns else F.lit(None).cast("int"))
-    df = df.withColumn("_party", searched_party(clean).isNotNull())
-    branches = []
+    df = df.withColumn("_low", F.lower(clean)).withColumn("_party", searched_party(clean, low).isNotNull())
+    # patterns of one bank that begin with the same fixed words are looked at, or left, together
+    groups: dict[tuple[int, tuple[str, ...]], list[Column]] = {}
     for p in catalog.compiled:
-        b = p.source.bank_id
-        branches.append(F.when((F.col("_scope").isNull() | (F.col("_scope") == b)) & clean.rlike(p.regex), _captured(p, clean, catalog.bank(b))))
-    if not branches:
+        b, words = p.source.bank_id, literals(p.regex)
+        groups.setdefault((b, words[:1]), []).append(F.when(_holds(low, words[1:]) & clean.rlike(p.regex), _captured(p, clean, catalog.bank(b))))
+    if not groups:
         raise ValueError("the catalog has no valid pattern")
-    df = df.withColumn("_found", F.filter(F.array(*branches), lambda c: c.isNotNull()))
+    of_group = [F.when((F.col("_scope").isNull() | (F.col("_scope") == b)) & _holds(low, word), F.filter(F.array(*branches), lambda c: c.isNotNull())) for (b, word), branches in groups.items()]
+    in_order = F.array_sort(F.flatten(F.filter(F.array(*of_group), lambda g: g.isNotNull())))  # by ord, which comes first
+    df = df.withColumn("_found", in_order)
     df = df.withColumn("_judged", F.transform("_found", lambda c: _judged(c, F.col("_party"))))
     accepted = F.filter("_judged", lambda j: j["reason"] == "none")
     df = df.withColumn("_hit", once(F.coalesce(F.get(accepted, F.lit(0)), F.get("_judged", F.lit(0)))))
@@ -224,4 +241,4 @@ def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: st
             "extraction": F.when(hit.isNotNull(), F.struct((hit["reason"] == "none").alias("accepted"), hit["reason"].alias("reason"), *(hit[c].alias(c) for c in FLAG_COLUMNS))),
         }
     )
-    return df.drop("_clean", "_scope", "_party", "_found", "_judged", "_hit")
+    return df.drop("_clean", "_low", "_scope", "_party", "_found", "_judged", "_hit")

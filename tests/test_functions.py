@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,63 @@ def test_readiness_and_priority(spark):
 def test_named_groups_become_positional():
     plain, names = regexes.positional(r"(?<a_b>x)(?:y)(z)[(?<no>](?<c>\(w)")
     assert plain == r"(x)(?:y)(z)[(?<no>](\(w)" and names == {"a_b": 1, "c": 3}
+
+
+def odd_texts(n: int = 1500) -> list[str | None]:
+    """Texts of what rules look for, whole, cut and glued together, with odd spaces, letters and digits."""
+    rng = random.Random(7)
+    bits = ["Dear Mr", "Dear ", "Dear Abel", "Abel Kebede", "A.B O'Neil", "from ", "to ", " on ", "at ", "SUPER MARKET", "(Abebe Bekele)", "( x)", "https://a.b/?id=FT12", "HTTP://", "id=", "Receipt/", "ID=Ab12&", "2024-01-31", "1/2/24", "31-Jan-2024", "3 sept 99", "13:45", "9:05 PM", "9:05pm", "1****4321", "****12", "+251912345678", "0912345678", "912345678", "812345678", "251812345678", "1234567890123", "ETB 5", "etb1,000.50", "Br.", "$7", "7.00 Br", "FT00012345K", "AB12CD", "12ab", "1a2b3c", "5", "0", "x9", "9x", "é5", "٣", "K", "ſ", "İ", " ", "　", " ", "\t", "\n", "\x0b", "\x1c", "\x85", ".", ",", "-", "_", "<NAME>", "<NUM>", "😀", "#", "'"]
+    join = lambda: rng.choice(("", " ", " ", "  "))
+    return [None, "", " ", "x" * 9000 + " 5"] + ["".join(rng.choice(bits) + join() for _ in range(rng.randrange(1, 12))) for _ in range(n)] + ["".join(rng.choice(bits) + join() for _ in range(400)) for _ in range(20)]
+
+
+def test_batches_say_what_the_jvm_says(spark, monkeypatch):
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(odd_texts())], "seq long, body string")
+    both = {}
+    for fast in (True, False):
+        if not fast:
+            monkeypatch.setattr(normalize, "_in_python", lambda rules, usable: False)
+        t = {r.seq: r.template for r in normalize.with_template(df, "body").collect()}
+        s = {r.seq: (r.template, r.spans) for r in normalize.with_spans(df, "body").collect()}
+        assert {k: v[0] for k, v in s.items()} == t
+        both[fast] = s
+    for k, v in both[False].items():
+        assert both[True][k] == v
+
+
+def test_texts_that_differ_in_digits_are_normalized_once(monkeypatch):
+    ran = []
+    monkeypatch.setattr(normalize, "_known", {})
+    monkeypatch.setattr(normalize, "found", lambda t, f=normalize.found: ran.append(t) or f(t))
+    texts = [f"Paid ETB {a}.00 for x{b} from 09{c:08} ref FT{a:08}K" for a in range(100, 130) for b in range(3) for c in range(5)]
+    got = [normalize.template_of(t) for t in texts]
+    assert len(ran) == 1 and {g for g in got} == {f"Paid <AMOUNT> for x{b} from <PHONE> ref <REFERENCE>" for b in range(3)}
+    assert normalize.template_of("Paid ETB 1.00 for x0 from 0812345678 ref FT00000001K") == "Paid <AMOUNT> for x0 from <ACCOUNT> ref <REFERENCE>"
+
+
+@pytest.mark.parametrize(
+    "pattern, words",
+    [
+        (r"(?ims)Paid ETB ([\d,.]+) for blue \w+, ref (\w+)", ("paid etb ", " for blue ", ", ref ")),
+        (r"a|b", ()),
+        (r"(?:x|y) of (z)?", (" of ",)),
+        (r"paids? up+s{0,2}to", ("paid", " up", "to")),
+        (r"\$5 [^\]x]+\.end", ("$5 ", ".end")),
+        (r"a[b[c]]d", ()),
+        (r"a(?x) b c", ()),
+        (r"a\x41b", ()),
+        (r"\Qa|b\E", ()),
+        (r"é?ab", ("ab",)),
+        (r"ab*?c", ("a", "c")),
+    ],
+)
+def test_literals(pattern, words):
+    assert regexes.literals(pattern) == words
+
+
+def test_spread_follows_the_input(spark, tmp_path):
+    """Many tasks for a large input, also where a few files or a join would make few."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(400_000).selectExpr("id", "sha2(cast(id as string), 256) as v").coalesce(1).write.parquet(path)
+    few, many = (regexes.spread(spark.read.parquet(path), "id", mb).rdd.getNumPartitions() for mb in (1000, 1))
+    assert few == 2 * spark.sparkContext.defaultParallelism and many > 2 * few
