@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,10 @@ def test_spread_follows_the_input(spark, tmp_path):
     spark.range(400_000).selectExpr("id", "sha2(cast(id as string), 256) as v").coalesce(1).write.parquet(path)
     few, many = (regexes.spread(spark.read.parquet(path), "id", mb).rdd.getNumPartitions() for mb in (1000, 1))
     assert few == 2 * spark.sparkContext.defaultParallelism and many > 2 * few
+
+
+def test_trimmed_takes_all_white_space_and_nothing_else(spark):
+    spaces = [c for c in map(chr, range(0x3100)) if re.fullmatch(r"[ \t\n\x0b\f\r ﻿  -     　]", c)] + ["﻿"]
+    rows = [(f"{c}{c}a b{c}", "a b") for c in spaces] + [("a  \x85", "a  \x85"), (" \n", ""), ("", ""), (None, None), ("\x85a", "\x85a")]
+    got = spark.createDataFrame(rows, "t string, x string").select(regexes.trimmed(F.col("t")).alias("t"), "x").collect()
+    assert len(rows) > 25 and all(r.t == r.x for r in got)
