@@ -28,7 +28,8 @@ def overall(rows: DataFrame) -> DataFrame:
 
 def by_bank(rows: DataFrame) -> DataFrame:
     """Totals of each bank that messages are attributed to."""
-    out = rows.where("bank_id is not null").groupBy("bank_id").agg(F.max_by("bank_name", "seq").alias("bank_name"), F.count(F.lit(1)).alias("total"), F.count_if("matched").alias("matched"))
+    named = rows.where("bank_id is not null").groupBy("bank_id", "bank_name").agg(F.max("seq").alias("last"), F.count(F.lit(1)).alias("total"), F.count_if("matched").alias("matched"))
+    out = named.groupBy("bank_id").agg(F.max_by("bank_name", "last").alias("bank_name"), F.sum("total").alias("total"), F.sum("matched").alias("matched"))
     return out.withColumns({"unmatched": F.col("total") - F.col("matched"), "coverage_pct": percent(F.col("matched"), F.col("total"), 100.0)})
 
 

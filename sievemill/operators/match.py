@@ -232,7 +232,7 @@ def parse(messages: DataFrame, catalog: Catalog, body: str = "body", address: st
     df = df.withColumns(
         {
             "matched": hit.isNotNull(),
-            "bank_id": F.when(hit.isNotNull(), hit["bank_id"]).otherwise(F.col("sender_bank")),
+            "bank_id": once(F.when(hit.isNotNull(), hit["bank_id"]).otherwise(F.col("sender_bank"))),
             "bank_name": F.when(hit.isNotNull(), hit["bank_name"]).otherwise(F.element_at(names, F.col("sender_bank")) if names is not None else F.lit(None)),
             "tx_type": hit["type"],
             "pattern_desc": hit["description"],

@@ -88,7 +88,7 @@ def export_document(messages: DataFrame, catalog: Catalog, metadata: dict, group
         spans = cluster.span_values(rows, "matched").join(own, ["matched", "template"])
         f = families.families(members, "stream").join(export.shape_maps(shapes.field_shapes(spans, *key), *key), key, "left")
         counts = health.merged(cluster.health_counts(rows).join(own.where("matched"), "template"), *key)
-        top = cluster.top_description(rows.join(own.where("matched").select("template", "family"), "template"), "family")
+        top = cluster.top_description(rows, own.where("matched").select("template", "family"), "family")
         success = f.where("stream = 'success'").join(counts, key).join(top, "family", "left")
         overall = _rows(export.message_totals(coverage.overall(rows)))[0]
         recon = _rows(health.reconciliation(success))[0]

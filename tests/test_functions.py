@@ -153,3 +153,10 @@ def test_trimmed_takes_all_white_space_and_nothing_else(spark):
     rows = [(f"{c}{c}a b{c}", "a b") for c in spaces] + [("a  \x85", "a  \x85"), (" \n", ""), ("", ""), (None, None), ("\x85a", "\x85a")]
     got = spark.createDataFrame(rows, "t string, x string").select(regexes.trimmed(F.col("t")).alias("t"), "x").collect()
     assert len(rows) > 25 and all(r.t == r.x for r in got)
+
+
+def test_once_keeps_filters_out(spark):
+    """A filter above isn't written into what is computed once."""
+    df = spark.range(3).select(regexes.once(F.sha2(F.col("id").cast("string"), 256)).alias("h"))
+    plan = df.where("h is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Project") and plan.count("sha2") == 1

@@ -278,3 +278,37 @@ def test_streams(spark, tmp_path):
     q = ingest.each_batch(ingest.deduplicated(ingest.read_lines(spark, str(tmp_path / "in"))), lambda df, i: got.extend(df.collect()), str(tmp_path / "c"))
     q.awaitTermination()
     assert [(r.address, r.body) for r in got] == [("a", "x")]
+
+
+def test_messages_are_counted_before_they_meet_families(spark):
+    """No join holds messages: a family's few keys would put them all in a few tasks."""
+    rows = spark.createDataFrame([(i, "t" if i % 3 else "u", i % 4 > 0, "p" if i % 2 else "q") for i in range(60)], "seq long, template string, matched boolean, pattern_desc string")
+    own = spark.createDataFrame([("t", "f"), ("u", "g")], "template string, family string")
+    top = cluster.top_description(rows, own, "family")
+    assert {r.family: r.pattern_desc for r in top.collect()} == {"f": "p", "g": "p"}
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [template" in plan[plan.index("Join") :]
+
+
+def test_bank_names_are_aggregated_by_hash(spark):
+    """Names as aggregates, not keys, would sort all messages."""
+    rows = spark.createDataFrame([(i, "t", 1 + i % 2, "ab"[i % 2], i % 3 == 0) for i in range(30)], "seq long, template string, bank_id int, bank_name string, matched boolean")
+    for df, key in ((cluster.mode_bank(rows), "template"), (coverage.by_bank(rows), "bank_id")):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        nearest = [line for line in plan if "Aggregate" in line][-1]
+        assert "HashAggregate" in nearest and "Sort" not in nearest, nearest
+    assert [tuple(r) for r in cluster.mode_bank(rows).collect()] == [("t", 1, "a")]
+    assert sorted((r.bank_id, r.bank_name, r.total, r.matched) for r in coverage.by_bank(rows).collect()) == [(1, "a", 15, 5), (2, "b", 15, 5)]
+
+
+def test_messages_are_parsed_once_a_query(spark, monkeypatch):
+    """Clusters, health, descriptions and counters come from one kept table; spans need no catalog."""
+    from sievemill.plans import messages, queries
+
+    parsed = []
+    monkeypatch.setattr(messages, "parse", lambda *a, f=messages.parse: parsed.append(1) or f(*a))
+    for name, times in (("reconciliation", 1), ("quality_rollup", 1), ("field_shapes", 0)):
+        parsed.clear()
+        queries.ALL[name](spark, "/root/testdata/sf0.001")
+        assert len(parsed) == times, name
+    spark.catalog.clearCache()
